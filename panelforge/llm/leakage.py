@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame
 
 from panelforge.llm.reading import fold, gram_hashes, page_stream, word_ends
 
-#: Letters per shingle of the join, and per seed of the verification.
-SHINGLE, SEED = 12, 6
+#: Letters per shingle of the join; per stretch of the verification, by itself and beside a longer one.
+SHINGLE, ANCHOR, SEED = 12, 10, 6
 #: Words of an item-sized window, and words of the item that must stand in a page.
 WINDOW, ENOUGH = 25, 23
 #: A page that holds a window shares at least SHARED of its shingles; the LEFT most frequent ones are no prefix. So at least (SHARED - LEFT) of a window's shingles are shared prefix shingles.
@@ -123,14 +123,19 @@ def prefix_of(items: Items, full: Index, frequency: np.ndarray) -> np.ndarray:
     return np.nonzero(chosen)[0]
 
 
-def least_shared(items: Items) -> int:
-    """Prefix shingles that a page shares with any full window it contains, for the shortest window of the items."""
-    lengths = [int((e[WINDOW - 1 :] - np.concatenate([[0], e])[: len(e) - WINDOW + 1]).min()) - SHINGLE + 1 for e in items.ends if len(e) >= WINDOW]
-    return max(3, int((SHARED - LEFT) * min(lengths, default=0)))
+def window_bounds(items: Items) -> tuple[int, int]:
+    """(prefix shingles that a page shares at least with any full window it contains, letters of the longest window)."""
+    letters = np.concatenate([np.zeros(0, np.int64), *[e[WINDOW - 1 :] - np.concatenate([[0], e])[: len(e) - WINDOW + 1] for e in items.ends if len(e) >= WINDOW]])
+    if not len(letters):
+        return 3, 0
+    return max(3, int((SHARED - LEFT) * (letters.min() - SHINGLE + 1))), int(letters.max())
 
 
 def stretches(item: bytes, page: bytes) -> np.ndarray:
-    """Rows ``(item position, page position, length)`` of the common stretches of at least SEED letters, by item position."""
+    """Rows ``(item position, page position, length)`` of the common stretches, by item position.
+
+    They have ANCHOR letters or more, or SEED and lie beside one that has, hardly shifted against it.
+    """
     gi, gp = gram_hashes(item, SEED), gram_hashes(page, SEED)
     order = np.argsort(gi, kind="stable")
     ranked = gi[order]
@@ -146,6 +151,9 @@ def stretches(item: bytes, page: bytes) -> np.ndarray:
     starts = np.nonzero(np.concatenate([[True], (np.diff(p - i) != 0) | (np.diff(i) > 1)]))[0]
     ends = np.concatenate([starts[1:], [total]]) - 1
     found = np.stack([i[starts], p[starts], i[ends] - i[starts] + SEED], axis=1)
+    anchors = found[found[:, 2] >= ANCHOR]
+    beside = (np.abs(found[:, :1] - anchors[:, 0]) <= 2 * BAND) & (np.abs((found[:, 1] - found[:, 0])[:, None] - (anchors[:, 1] - anchors[:, 0])) <= 2 * SEED)
+    found = found[beside.any(axis=1)]
     return found[np.lexsort((found[:, 1], found[:, 0]))]
 
 
@@ -214,22 +222,25 @@ def longest_run(item: bytes, ends: np.ndarray, page: bytes) -> tuple[int, int]:
     return best
 
 
-def _clusters(item_at: np.ndarray, page_at: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
-    """Page ranges (of positions already sorted into bands) where at least ``least`` distinct shared shingles lie in two neighbouring bands."""
+def _clusters(item_at: np.ndarray, page_at: np.ndarray, least: int, longest: int) -> Iterator[tuple[int, int]]:
+    """Page ranges of neighbouring bands in which ``least`` distinct shared shingles lie within one window of the item, fullest first."""
     band = (page_at - item_at) // BAND
-    order = np.argsort(band, kind="stable")
-    band, page = band[order], page_at[order]
+    order = np.lexsort((item_at, band))
+    band, item_at, page_at = band[order], item_at[order], page_at[order]
     bands, first, n = np.unique(band, return_index=True, return_counts=True)
     pair = n + np.where(np.concatenate([np.diff(bands) == 1, [False]]), np.concatenate([n[1:], [0]]), 0)
     for k in np.argsort(-pair, kind="stable"):
         if pair[k] < least:
             return
-        stop = first[k] + pair[k]
-        yield int(page[first[k] : stop].min()), int(page[first[k] : stop].max())
+        here = slice(first[k], first[k] + pair[k])
+        distinct = np.unique(item_at[here])
+        if len(distinct) >= least and (distinct[least - 1 :] - distinct[: len(distinct) - least + 1]).min() <= longest:
+            yield int(page_at[here].min()), int(page_at[here].max())
 
 
-def leaks_of(stream: bytes, items: Items, prefix: Index, least: int, enough: int) -> Iterator[tuple[int, int, int]]:
+def leaks_of(stream: bytes, items: Items, prefix: Index, bounds: tuple[int, int], enough: int) -> Iterator[tuple[int, int, int]]:
     """(item number, words of the run, words matched) of every item with a long enough run in the page."""
+    least, longest = bounds
     at, which = prefix.find(stream)
     if len(at) < least:
         return
@@ -243,7 +254,7 @@ def leaks_of(stream: bytes, items: Items, prefix: Index, least: int, enough: int
     for k in np.nonzero(count >= least)[0]:
         here = slice(first[k], first[k] + count[k])
         body, ends = items.streams[some[k]], items.ends[some[k]]
-        for low, high in _clusters(item_at[here], page_at[here], least):
+        for low, high in _clusters(item_at[here], page_at[here], least, longest):
             reach = len(body) + PAGE_GAP
             words, matched = longest_run(body, ends, stream[max(0, low - reach) : high + reach])
             if words >= enough:
@@ -321,12 +332,12 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, enough: int = ENOUGH
         counted = pages.mapInArrow(count, "shingle long, pages long").groupBy("shingle").agg({"pages": "sum"}).toPandas()
         frequency = np.zeros(len(full.hashes), dtype=np.int64)
         frequency[counted.iloc[:, 0].to_numpy()] = counted.iloc[:, 1].to_numpy()
-        chosen = spark.sparkContext.broadcast((items, index_of(items, prefix_of(items, full, frequency)), least_shared(items)))
+        chosen = spark.sparkContext.broadcast((items, index_of(items, prefix_of(items, full, frequency)), window_bounds(items)))
 
         def join(batches, chosen=chosen):
-            items, prefix, least = chosen.value
+            items, prefix, bounds = chosen.value
             for batch in batches:
-                rows = [(d.as_py(), int(items.ids[k]), w, m) for d, s in zip(batch.column("doc_id"), _streams(batch), strict=True) for k, w, m in leaks_of(s, items, prefix, least, enough)]
+                rows = [(d.as_py(), int(items.ids[k]), w, m) for d, s in zip(batch.column("doc_id"), _streams(batch), strict=True) for k, w, m in leaks_of(s, items, prefix, bounds, enough)]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "matched"]).astype({"doc_id": "int64", "item_id": "int64", "words": "int32", "matched": "int32"}), preserve_index=False)
 
         found = pages.mapInArrow(join, "doc_id long, item_id long, words int, matched int")
