@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from panelforge import queries_training
+from panelforge import queries_reference, queries_training
 
-FLAGSHIP = "p6_totals"
+FLAGSHIP = "backtest_risk_report"
 
 
 def queries() -> dict:
-    return dict(queries_training.QUERIES)
+    return queries_reference.QUERIES | queries_training.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return queries_reference.ORACLE | queries_training.ORACLE

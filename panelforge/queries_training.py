@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelforge.functions.columns import iso
 from panelforge.operators.asof import known_sets, returns_with_known_weights
@@ -49,7 +50,47 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_totals(spark: SparkSession, d: str) -> DataFrame:
-    return trailing_totals(table(spark, d, "equity"))
+    t = trailing_totals(table(spark, d, "equity"))
+    return t.select("strategy", "trade_date", "window_days", *[F.round(c, 8 if c.startswith("ret") else 4).alias(c) for c in ("ret", "equity", "ret_sum", "ret_mean", "equity_sum", "equity_mean")])
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_grid, p3_found, p3_filled, p5_found, p5_weights, p6_found, p6_totals)}
+
+_READ = """with c as (select ticker, min(cadence_min) as c from universe where cadence_min > 0 and ticker is not null group by ticker),
+r as (select r.ticker, c.c, cast(floor(epoch_us(ts) / 60000000.0 / c.c) as bigint) as slot, px, volume from readings r join c on r.ticker = c.ticker where ts is not null),
+a as (select ticker, c, slot, count(*) as n, max(case when px is not null and not isnan(px) then 1 else 0 end) as px, max(case when volume is not null and not isnan(volume) then 1 else 0 end) as volume from r group by ticker, c, slot),
+g as (select ticker, c, unnest(range(min(slot), max(slot) + 1)) as slot from a group by ticker, c),
+j as (select g.ticker, strftime(make_timestamp(g.slot * g.c * 60000000), '%Y-%m-%d %H:%M') as slot_start, coalesce(a.px, 0) as px, coalesce(a.volume, 0) as volume from g left join a on a.ticker = g.ticker and a.slot = g.slot)
+"""
+_DAYS = """with k as (select strategy, trade_date, ret, equity from (select *, row_number() over (partition by strategy, trade_date order by loaded_at desc) as rn from equity where strategy is not null and trade_date is not null) where rn = 1),
+s as (select strategy, unnest(generate_series(min(trade_date)::timestamp, max(trade_date)::timestamp, interval 1 day))::date as d from k group by strategy),
+f as (select s.strategy, s.d, k.ret, cast(coalesce(k.ret, 0) as decimal(38, 10)) as x, last_value(k.equity ignore nulls) over (partition by s.strategy order by s.d) as e from s left join k on k.strategy = s.strategy and k.trade_date = s.d),
+w as (select strategy, d, 7 as window_days, coalesce(ret, 0) as ret, e as equity, sum(x) over w7 as rs, count(*) over w7 as n, sum(cast(e as decimal(38, 10))) over w7 as es, count(e) over w7 as m from f window w7 as (partition by strategy order by d rows between 6 preceding and current row)
+  union all select strategy, d, 30, coalesce(ret, 0), e, sum(x) over w30, count(*) over w30, sum(cast(e as decimal(38, 10))) over w30, count(e) over w30 from f window w30 as (partition by strategy order by d rows between 29 preceding and current row))
+"""
+
+_CODES = """with v as (select ticker, trade_date, px from panel where ticker is not null and trade_date is not null),
+o as (select * from v where px is not null and not isnan(px)),
+l as (select ticker, median(px) as m from o where px > 0 group by ticker),
+c as (select px from o left join l on o.ticker = l.ticker where px <> 0 group by px
+  having count(distinct o.ticker) >= greatest(2, 0.08 * (select count(distinct ticker) from o)) and avg(case when px > 0 and greatest(px / m, m / px) <= 20 then 1.0 else 0.0 end) <= 0.2)
+"""
+
+ORACLE = {
+    "p3_found": _CODES
+    + """select ticker, strftime(trade_date, '%Y-%m-%d') as trade_date from v
+group by ticker, v.trade_date having max(case when px is not null and not isnan(px) and px not in (select px from c) then 1 else 0 end) = 0""",
+    "p2_found": _READ + "select ticker, slot_start, 'px' as field from j where px = 0 union all select ticker, slot_start, 'volume' from j where volume = 0",
+    "p5_found": """
+with e as (select distinct strategy, trade_date, asof_ts from equity where strategy is not null and trade_date is not null and asof_ts is not null),
+s as (select distinct strategy, set_id, reb_date, known_at from weight_history where known_at is not null and reb_date is not null and strategy is not null),
+j as (select e.*, s.set_id, reb_date, known_at from e join s on s.strategy = e.strategy and reb_date <= trade_date),
+b as (select strategy, trade_date, asof_ts, arg_max(set_id, (reb_date, known_at, set_id)) as h, arg_max(set_id, (reb_date, known_at, set_id)) filter (known_at <= asof_ts) as u from j group by all)
+select distinct strategy, strftime(trade_date, '%Y-%m-%d') as trade_date, u as set_id from b where u is not null and u <> h""",
+    "p6_found": _DAYS
+    + """select strategy, strftime(d, '%Y-%m-%d') as day, window_days from w
+where (window_days = 7 and round(rs, 6) <= -0.12) or (window_days = 30 and cast(es as double) / m >= 1.12 * equity)""",
+    "p6_totals": _DAYS
+    + """select strategy, d as trade_date, window_days, round(ret, 8) as ret, round(equity, 4) as equity, round(cast(rs as double), 8) as ret_sum, round(cast(rs as double) / n, 8) as ret_mean,
+round(cast(es as double), 4) as equity_sum, round(cast(es as double) / m, 4) as equity_mean from w""",
+}
