@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import weights as W
 from panelforge.functions.covariances import estimator
 from panelforge.operators.covariance import full, matrix
+from panelforge.plans.storage import spread
 
 #: Named strategies and how each builds its raw target; ``lever`` asks the fold for a volatility target, ``method`` overrides the covariance estimator.
 REGISTRY = {
@@ -107,7 +108,7 @@ def raw_targets(panel: DataFrame, schedule: DataFrame, lookback: int = 252, vol_
             rows += [(name, pdf["reb_id"].iloc[0], t, w[k], warm, bool(spec.get("lever")), None if recent is None else recent[k].tolist()) for k, t in enumerate(tickers)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in RAW.split(", ")])
 
-    found = members(panel, schedule, lookback).groupBy("reb_id").applyInPandas(run, RAW)
+    found = spread(members(panel, schedule, lookback), "reb_id").groupBy("reb_id").applyInPandas(run, RAW)
     first = panel.join(schedule.where("rn = 1 and is_reb").select("date", "reb_id"), "date").select("reb_id", "ticker", (1 / F.count("*").over(Window.partitionBy("reb_id"))).alias("w"))
     names = F.explode(F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(bool(s.get("lever"))).alias("lever")) for k, s in strategies.items()]))
     opening = first.select(names.alias("s"), "reb_id", "ticker", "w").select("s.strategy", "reb_id", "ticker", "w", F.lit(True).alias("warm"), "s.lever", F.lit(None).cast("array<double>").alias("cov"))

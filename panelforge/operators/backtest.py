@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.weights import cap_turnover, vol_leverage
 from panelforge.operators.costs import rate
 from panelforge.operators.panel import calendar
-from panelforge.plans.storage import write_table
+from panelforge.plans.storage import spread, write_table
 
 CAPITAL = 1_000_000.0
 
@@ -128,4 +128,4 @@ def fold(raw: DataFrame, max_turnover: float | None = 0.30, vol_target: float =
             weights, last_px = target, px
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
 
-    return raw.groupBy("strategy").applyInPandas(walk, FOLDED)
+    return spread(raw, "strategy").groupBy("strategy").applyInPandas(walk, FOLDED)

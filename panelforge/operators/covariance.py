@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.covariances import diagnostics, estimator, mp_bounds, mp_density
+from panelforge.plans.storage import spread
 
 
 def pairs(returns: DataFrame) -> DataFrame:
@@ -77,7 +78,7 @@ def estimate(returns: DataFrame, methods: Sequence[str], keys: Sequence[str] = (
             out[k] = pdf[k].iloc[0]
         return out[["method", *keys, "i", "j", "cov"]]
 
-    return named.groupBy("method", *keys).applyInPandas(run, ", ".join(["method string", *key_types, "i string", "j string", "cov double"]))
+    return spread(named, "method", *keys).groupBy("method", *keys).applyInPandas(run, ", ".join(["method string", *key_types, "i string", "j string", "cov double"]))
 
 
 def compare(cov: DataFrame) -> DataFrame:

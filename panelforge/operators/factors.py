@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.frames import empty
 from panelforge.functions.inference import ols
+from panelforge.plans.storage import spread
 
 FACTORS = ("mkt_rf", "smb", "hml", "rmw", "cma", "mom")
 LONG = "strategy string, term string, beta double, se double, t double, p double, r2 double, n long, ir double, attributed double"
@@ -35,7 +36,7 @@ def attribute(series: DataFrame, factors: DataFrame, names: Sequence[str] = FACT
         means = np.concatenate([[1.0], f.mean(axis=0)])
         return pd.DataFrame({"strategy": pdf["strategy"].iloc[0], "term": ["alpha", *names], "beta": fit["beta"], "se": fit["se"], "t": fit["t"], "p": fit["p"], "r2": fit["r2"], "n": fit["n"], "ir": ir, "attributed": fit["beta"] * means * 252})
 
-    return joined.groupBy("strategy").applyInPandas(run, LONG)
+    return spread(joined, "strategy").groupBy("strategy").applyInPandas(run, LONG)
 
 
 ROLLING = "strategy string, date date, alpha double, alpha_se double, r2 double, betas array<double>"
@@ -66,7 +67,7 @@ def rolling_attribution(series: DataFrame, factors: DataFrame, names: Sequence[s
         se = np.sqrt(np.maximum(inverse[:, 0, 0] * sse / (window - x.shape[1]), 0))
         return pd.DataFrame({"strategy": pdf["strategy"].iloc[0], "date": pdf["date"].to_numpy()[window - 1 :], "alpha": beta[:, 0] * 252, "alpha_se": se * 252, "r2": np.where(sst > 0, 1 - sse / np.where(sst > 0, sst, 1), 0.0), "betas": list(beta[:, 1:])})
 
-    return joined.groupBy("strategy").applyInPandas(run, ROLLING)
+    return spread(joined, "strategy").groupBy("strategy").applyInPandas(run, ROLLING)
 
 
 def single_factor(series: DataFrame, factors: DataFrame, name: str = "mkt_rf") -> DataFrame:

@@ -22,7 +22,7 @@ def no_data_codes(panel: DataFrame, value: str = "px", entity: str = "ticker", s
     rows = panel.select(F.col(entity).alias("_e"), number(value).alias("_v")).where("_e is not null and _v is not null")
     seen = rows.groupBy("_e", "_v").agg(F.count("*").alias("n"))
     level = rows.where("_v > 0").groupBy("_e").agg(F.percentile_approx("_v", 0.5, 200).alias("level"))
-    n_all = seen.agg(F.countDistinct("_e").alias("n_all"))
-    frequent = seen.where("_v <> 0").groupBy("_v").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least).join(F.broadcast(n_all)).where(F.col("n_e") >= F.col("n_all") * share)
+    n_all = seen.agg(F.countDistinct("_e").alias("n_all")).withColumn("_k", F.lit(0))
+    frequent = seen.where("_v <> 0").groupBy("_v").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least).withColumn("_k", F.lit(0)).join(F.broadcast(n_all), "_k").where(F.col("n_e") >= F.col("n_all") * share)
     near = seen.join(frequent.select("_v"), "_v").join(level, "_e", "left").select("_v", F.coalesce((F.col("_v") > 0) & (F.greatest(F.col("_v") / F.col("level"), F.col("level") / F.col("_v")) <= far), F.lit(False)).cast("double").alias("near"))
     return near.groupBy("_v").agg(F.avg("near").alias("near")).where("near <= 0.2").select(F.col("_v").alias("code"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.frames import empty
 from panelforge.functions.inference import regimes as hmm
 from panelforge.operators.metrics import over, risk_report, rolling
+from panelforge.plans.storage import spread
 
 
 def classify(series: DataFrame, window: int = 60, bull: float = 0.15, sideways: float = 0.25) -> DataFrame:
@@ -61,7 +62,7 @@ def hmm_regimes(series: DataFrame, window: int = 20) -> DataFrame:
             {"strategy": pdf["strategy"].iloc[0], "date": pdf["date"].to_numpy()[at], "state": state, "regime": [labels[s] for s in state], "states": len(labels), "mean_vol": facts["means"][state, 1], "stay": facts["transition"].diagonal()[state]}
         )
 
-    return series.select("strategy", "date", "ret").groupBy("strategy").applyInPandas(fit, HMM_ROWS)
+    return spread(series.select("strategy", "date", "ret"), "strategy").groupBy("strategy").applyInPandas(fit, HMM_ROWS)
 
 
 def transitions(labelled: DataFrame) -> DataFrame:

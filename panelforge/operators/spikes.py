@@ -80,7 +80,8 @@ def excursion_limits(x: np.ndarray, threshold: float, longest: int = 3) -> tuple
     """Per bar the values (low, high) beyond which it belongs to an excursion of at most ``longest`` bars.
 
     A bar's excursion may hold neighbours, which then must lie beyond the same
-    limits; its levels are taken before and after the whole excursion.
+    limits, while the bars next to the excursion must not; its levels are taken
+    before and after the whole excursion.
     """
     n = len(x)
     before, after = _side_levels(x)
@@ -94,9 +95,12 @@ def excursion_limits(x: np.ndarray, threshold: float, longest: int = 3) -> tuple
         top, bottom = np.fmax(b, a) + threshold, np.fmin(b, a) - threshold
         inside = np.lib.stride_tricks.sliding_window_view(x, length)[: len(starts)]
         up, down = inside > top[:, None], inside < bottom[:, None]
+        left = np.concatenate([[np.nan], x[: n - 1]])[starts]
+        right = np.concatenate([x[1:], [np.nan]])[starts + length - 1]
+        whole_up, whole_down = ~((left > top) | (right > top)), ~((left < bottom) | (right < bottom))
         for j in range(length):
             others = [c for c in range(length) if c != j]
-            ok_up, ok_down = up[:, others].all(axis=1), down[:, others].all(axis=1)
+            ok_up, ok_down = whole_up & up[:, others].all(axis=1), whole_down & down[:, others].all(axis=1)
             at = starts + j
             high[at] = np.where(ok_up & np.isfinite(top), np.minimum(high[at], top), high[at])
             low[at] = np.where(ok_down & np.isfinite(bottom), np.maximum(low[at], bottom), low[at])
@@ -135,7 +139,7 @@ def _limits_of(day: np.ndarray, value: np.ndarray, threshold: float | None, move
     return low, high
 
 
-def block_limits(pdf: pd.DataFrame, moves: float, fold: float, shortest_run: int) -> pd.DataFrame:
+def block_limits(pdf: pd.DataFrame, moves: float, fold: float, shortest_run: int, block_days: int) -> pd.DataFrame:
     """Limits and stuck values for the days of one ticker's block (its halo is seen, not reported)."""
     pdf = pdf.sort_values("day", kind="stable")
     day, px, volume = pdf["day"].to_numpy(), pdf["px"].to_numpy(float), pdf["volume"].to_numpy(float)
@@ -153,7 +157,7 @@ def block_limits(pdf: pd.DataFrame, moves: float, fold: float, shortest_run: int
             "volume_stuck": stuck_values(volume, px, shortest_run),
         }
     )
-    return out[(day // BLOCK_DAYS) == pdf["block"].to_numpy()]
+    return out[(day // block_days) == pdf["block"].to_numpy()]
 
 
 def flag_readings(panel: DataFrame, moves: float = 8.0, fold: float = 25.0, shortest_run: int = 6) -> DataFrame:
@@ -185,7 +189,8 @@ def flag_readings(panel: DataFrame, moves: float = 8.0, fold: float = 25.0, shor
 
     series = rows.groupBy("ticker", "day").agg(first("px", F.col("px") > 0), first("volume", F.col("volume") >= 0))
     placed = series.select("*", F.explode(F.array_distinct(F.array(*[F.floor((F.col("day") + h) / BLOCK_DAYS).cast("int") for h in (-HALO_DAYS, 0, HALO_DAYS)]))).alias("block"))
-    limits = placed.groupBy("ticker", "block").applyInPandas(lambda pdf: block_limits(pdf, moves, fold, shortest_run), LIMITS)
+    days = BLOCK_DAYS
+    limits = placed.groupBy("ticker", "block").applyInPandas(lambda pdf: block_limits(pdf, moves, fold, shortest_run, days), LIMITS)
     values = (
         rows.select("ticker", "day", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("px", "volume")])).alias("x"))
         .select("ticker", "day", "x.field", "x.value")

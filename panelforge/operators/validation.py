@@ -19,6 +19,7 @@ from panelforge.operators.backtest import run_backtest
 from panelforge.operators.covariance import matrix
 from panelforge.operators.metrics import moments, rank_correlation, sharpe
 from panelforge.operators.panel import calendar
+from panelforge.plans.storage import spread
 
 
 def splits(returns: DataFrame, groups: int = 10, test_groups: int = 2, purge: int = 5, embargo: float = 0.01) -> DataFrame:
@@ -72,7 +73,7 @@ def cpcv(returns: DataFrame, strategy: Callable[[np.ndarray], np.ndarray], rf: f
         p = x @ w
         return pd.DataFrame([(pdf["split_id"].iloc[0], int((~test).sum()), int(test.sum()), _sharpe(p[~test], rf), _sharpe(p[test], rf))], columns=list(empty(schema).columns))
 
-    return splits(returns, **how).join(returns, "date").groupBy("split_id").applyInPandas(run, schema)
+    return spread(splits(returns, **how).join(returns, "date"), "split_id").groupBy("split_id").applyInPandas(run, schema)
 
 
 def overfitting(split_sharpes: DataFrame) -> DataFrame:
@@ -129,7 +130,7 @@ def walk_forward_weights(panel: DataFrame, least: int = 756, periods: int = 252,
         w = target_of(spec, x, cov, np.full(len(tickers), 1 / len(tickers)), periods, rf)
         return pd.DataFrame({"reb_id": pdf["reb_id"].iloc[0], "ticker": tickers, "w": w})
 
-    found = history.groupBy("reb_id").applyInPandas(run, WEIGHTS)
+    found = spread(history, "reb_id").groupBy("reb_id").applyInPandas(run, WEIGHTS)
     return found.join(schedule.where("is_reb").select("reb_id", F.col("date").alias("reb_date")), "reb_id")
 
 
@@ -201,7 +202,7 @@ def parameter_runs(panel: DataFrame, lookbacks: list[int], fractions: list[float
             out.append(equity / before - 1)
         return pd.DataFrame([(pdf["window_start"].iloc[0], pdf["combo"].iloc[0], lookback, fraction, _sharpe(np.array(out), rf))], columns=[c.split()[0] for c in STABILITY.split(", ")])
 
-    return tasks.groupBy("window_start", "combo").applyInPandas(run, STABILITY)
+    return spread(tasks, "window_start", "combo").groupBy("window_start", "combo").applyInPandas(run, STABILITY)
 
 
 def parameter_stability(runs: DataFrame) -> DataFrame:

@@ -44,6 +44,17 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed by ``keys`` over a fixed number of partitions, for groups that cost much time and hold few rows.
+
+    Adaptive execution would join small partitions to one and run all groups in
+    one task; a partition number that is asked for is kept.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows; otherwise leave the join to shuffle.
 
