@@ -115,7 +115,7 @@ def prefix_of(items: Items, full: Index, frequency: np.ndarray) -> np.ndarray:
     for stream, ends in zip(items.streams, items.ends, strict=True):
         number = np.searchsorted(full.hashes, gram_hashes(stream, SHINGLE))
         starts = np.concatenate([[0], ends[:-1]])
-        for w in range(max(1, len(ends) - WINDOW + 1)):
+        for w in range(max(1, len(ends) - WINDOW + 1) if len(ends) else 0):
             inside = number[starts[w] : max(starts[w] + 1, ends[min(w + WINDOW, len(ends)) - 1] - SHINGLE + 1)]
             if len(inside):
                 ordered = inside[np.argsort(rank[inside], kind="stable")]
@@ -269,11 +269,7 @@ def _streams(batch: pa.RecordBatch) -> Iterator[bytes]:
 
 
 def _blocks(eval_items: DataFrame) -> Iterator[Items]:
-    """Items in blocks of bounded size, each brought to the driver by itself, with instructions taken off.
-
-    Shared instructions are looked for among all items of a block and of the
-    blocks before it, which are as many as the driver reads anyway.
-    """
+    """Items in blocks of bounded size, each brought to the driver by itself, without the instructions that items of the block share."""
     rows = eval_items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()
     ids: list[int] = []
     texts: list[str] = []

@@ -32,6 +32,8 @@ RULED = r"\|"
 LEADERS = r"[.·,]{4,}|(?:[.·] ?){5,}"
 BULLET = r"^\s*(?:[0-9lI]{1,3}[.)]|[a-z]\)|[*•\-–—·]) +\S"
 AMOUNT = r"\b(?:Mr|Mrs|Miss|Dr|Rev)\b.{3,25}, ?[0-9lIO]{1,3} ?(?:l|s|gs|I)\b"
+#: A token with a digit; begins at a token's start only and never backtracks, so a line of any length is scanned once.
+FIGURE = r"(?<!\S)[^\s\d]*+\d\S*+"
 ENTRY = "|".join((COLUMNS, RULED, LEADERS, BULLET, AMOUNT))
 
 #: Share of a sentence's words that are frequent words, at the least.
@@ -114,7 +116,7 @@ def line_counts(lines: DataFrame, words: list[str]) -> DataFrame:
         line.rlike(r"""[.!?]["'»)]*\s*$""").cast("int").alias("ends"),
         line.rlike(ENTRY).alias("entry"),
         F.regexp_count(line, F.lit(r"\S+")).alias("n_tokens"),
-        F.regexp_count(line, F.lit(r"[^\s\d]*\d\S*")).alias("n_figures"),
+        F.regexp_count(line, F.lit(FIGURE)).alias("n_figures"),
         F.size(F.filter("tokens", lambda w: _among(w, telling))).alias("forward"),
         F.size(F.filter("tokens", lambda w: _among(w, mirrored))).alias("backward"),
     )

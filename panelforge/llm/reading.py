@@ -17,7 +17,7 @@ CONFUSED = ("eoc06", "ilt1fj!|", "aunr", "hb", "s5ſ", "vy", "gq9")
 #: Lines whose left edges differ by more pixels than this belong to different columns.
 COLUMN_GAP = 150
 #: Code points below this are folded by a table.
-TABLE_END = 0x2000
+TABLE_END = 0x3000
 
 
 def _table() -> dict[int, str]:
