@@ -32,6 +32,10 @@ RULED = r"\|"
 LEADERS = r"[.·,]{4,}|(?:[.·] ?){5,}"
 BULLET = r"^\s*(?:[0-9lI]{1,3}[.)]|[a-z]\)|[*•\-–—·]) +\S"
 AMOUNT = r"\b(?:Mr|Mrs|Miss|Dr|Rev)\b.{3,25}, ?[0-9lIO]{1,3} ?(?:l|s|gs|I)\b"
+#: A token that is a number; it is no misread word.
+NUMBER = r"(?<!\S)[\d.,/]++(?!\S)"
+#: Characters that prose is made of.
+ORDINARY = r"""[\p{L}\p{N}\s.,;:!?'"()/·—¬\xad=-]+"""
 #: A token with a digit; begins at a token's start only and never backtracks, so a line of any length is scanned once.
 FIGURE = r"(?<!\S)[^\s\d]*+\d\S*+"
 ENTRY = "|".join((COLUMNS, RULED, LEADERS, BULLET, AMOUNT))
@@ -102,19 +106,22 @@ def line_counts(lines: DataFrame, words: list[str]) -> DataFrame:
         "doc_id",
         "line",
         F.regexp_extract_all(F.lower(line), F.lit(r"([\p{L}\p{N}]+)"), 1).alias("words"),
-        F.split(F.translate(F.lower(line), FROM, TO), r"\s+").alias("tokens"),
+        F.split(F.translate(F.regexp_replace(F.lower(line), NUMBER, " "), FROM, TO), r"\s+").alias("tokens"),
         F.length(F.regexp_replace(line, r"\s+", "")).alias("visible"),
         F.length(F.regexp_replace(line, r"[^\p{L}]+", "")).alias("letters"),
+        F.length(F.regexp_replace(line, ORDINARY, "")).alias("odd"),
     ).where("visible > 0")
     numbered = seen.select(
         "doc_id",
         "visible",
         "letters",
+        "odd",
         F.size("words").alias("n_words"),
         F.aggregate("words", F.lit(0), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.size(F.filter("words", lambda w: _among(w, words))).alias("n_common"),
         line.rlike(r"""[.!?]["'»)]*\s*$""").cast("int").alias("ends"),
         line.rlike(ENTRY).alias("entry"),
+        ((F.upper(line) == line) & (F.lower(line) != line) & (F.col("letters") >= 0.7 * F.col("visible"))).alias("capitals"),
         F.regexp_count(line, F.lit(r"\S+")).alias("n_tokens"),
         F.regexp_count(line, F.lit(FIGURE)).alias("n_figures"),
         F.size(F.filter("tokens", lambda w: _among(w, telling))).alias("forward"),
@@ -122,8 +129,9 @@ def line_counts(lines: DataFrame, words: list[str]) -> DataFrame:
     )
     kind = (
         F.when(F.col("entry") & (F.col("forward") <= 1), "entry")
+        .when(F.col("capitals"), "heading")
         .when((F.col("n_figures") >= 3) & (F.col("n_figures") >= 0.4 * F.col("n_tokens")), "entry")
-        .when(F.col("letters") < 0.65 * F.col("visible"), "junk")
+        .when((F.col("odd") > 0.08 * F.col("visible")) | (F.col("letters") < 0.4 * F.col("visible")), "junk")
         .when(F.col("backward") > F.col("forward"), "junk")
         .when(F.col("forward") > 0, "told")
         .otherwise("open")
@@ -140,13 +148,16 @@ def line_counts(lines: DataFrame, words: list[str]) -> DataFrame:
         "ends",
         is_kind("entry").alias("entries"),
         is_kind("junk").alias("junk"),
+        is_kind("heading").alias("headings"),
         is_kind("told").alias("told"),
         is_kind("open").alias("open"),
+        "forward",
+        "backward",
         F.when(F.col("kind").isin("told", "open"), F.col("n_tokens")).otherwise(0).alias("free_tokens"),
     )
 
 
-def text_quality(documents: DataFrame, common_words: DataFrame, limit: float = 0.45) -> DataFrame:
+def text_quality(documents: DataFrame, common_words: DataFrame, limit: float = 0.43) -> DataFrame:
     """One row of statistics per document, with a verdict.
 
     ``n_words`` (runs of letters and digits), ``mean_word_length``,
@@ -155,9 +166,10 @@ def text_quality(documents: DataFrame, common_words: DataFrame, limit: float = 0
     ``common_share`` (of words, those among the frequent words of any language;
     a page's language label is not trusted), ``n_lines`` and ``unprosed_share``:
     the share of lines that are entries of lists, rows of tables or junk. Lines
-    that look like entries or junk count by themselves; of the other lines, those
-    without a frequent word count as far as there are more of them than
-    sentences of that length would have. ``verdict`` is ``prose``, ``not_prose``
+    that look like entries or junk count by themselves, lines in capitals (headings,
+    advertisements) never; of the other lines, those without a frequent word count as far as there are more of them than
+    sentences of that length would have. A page with more frequent words spelled
+    backwards than forwards cannot be read and has no prose. ``verdict`` is ``prose``, ``not_prose``
     (``unprosed_share`` above ``limit``) or ``blank``.
 
     Words are compared with confusable letters joined, so misread prose stays
@@ -177,6 +189,7 @@ def text_quality(documents: DataFrame, common_words: DataFrame, limit: float = 0
     free = F.col("told") + F.col("open")
     expected = 1 - F.pow(F.lit(1 - COMMON_SHARE), F.col("free_tokens") / F.greatest(free, F.lit(1)))
     prose = F.when(free > 0, F.least(free.cast("double"), F.col("told") / expected)).otherwise(0.0)
+    prose = F.when(F.col("backward") > F.col("forward"), 0.0).otherwise(prose + F.col("headings"))
     told = sums.select(
         "doc_id",
         "n_words",
