@@ -65,7 +65,7 @@ def decompose(x: np.ndarray, weekday: np.ndarray) -> np.ndarray:
 
 
 def _side_levels(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """before[i]: median of the last SIDE_BARS values before i; after[i]: of the first ones from i on. One side missing: the other's."""
+    """before[i]: median of the last SIDE_BARS values before i; after[i]: of the first ones from i on; NaN where there are none."""
     n, k = len(x), SIDE_BARS
     gap = np.full(k, np.nan)
     windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([gap, x, gap]), k)
@@ -81,7 +81,8 @@ def excursion_limits(x: np.ndarray, threshold: float, longest: int = 3) -> tuple
 
     A bar's excursion may hold neighbours, which then must lie beyond the same
     limits, while the bars next to the excursion must not; its levels are taken
-    before and after the whole excursion.
+    before and after the whole excursion. An excursion at either end of the
+    series has a level on one side only and is none: it may as well be a new level.
     """
     n = len(x)
     before, after = _side_levels(x)
@@ -91,8 +92,7 @@ def excursion_limits(x: np.ndarray, threshold: float, longest: int = 3) -> tuple
         if not len(starts):
             break
         b, a = before[starts], after[starts + length]
-        b, a = np.where(np.isnan(b), a, b), np.where(np.isnan(a), b, a)
-        top, bottom = np.fmax(b, a) + threshold, np.fmin(b, a) - threshold
+        top, bottom = np.maximum(b, a) + threshold, np.minimum(b, a) - threshold
         inside = np.lib.stride_tricks.sliding_window_view(x, length)[: len(starts)]
         up, down = inside > top[:, None], inside < bottom[:, None]
         left = np.concatenate([[np.nan], x[: n - 1]])[starts]

@@ -98,6 +98,7 @@ def test_excursions_of_four_bars_are_a_level():
     low, high = excursion_limits(x, 1.0)
     assert not ((x > high) | (x < low)).any()
     x[13] = 0
+    x[:2] = x[-2:] = -7  # no level on one side
     low, high = excursion_limits(x, 1.0)
     assert list(np.nonzero(x > high)[0]) == [10, 11, 12]
 
