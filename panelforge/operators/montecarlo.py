@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelforge.operators.covariance import matrix
+from panelforge.plans.storage import spread
+
+#: Paths drawn at once.
+PATH_BLOCK = 5_000
+
 
 def uniform(seed: int, *counters: Column | str, draw: int = 0) -> Column:
     """A uniform number in (0, 1) that is a function of seed, counters and draw."""
@@ -74,3 +81,71 @@ def underwater(walked: DataFrame, capital: float, threshold: float = 0.0) -> Dat
     under = walked.select("path", "day", (F.col("equity") / F.greatest(F.max("equity").over(to_date), F.lit(capital)) - 1 < -threshold).alias("under"))
     runs = under.withColumn("run", F.sum((~F.col("under")).cast("int")).over(to_date))
     return runs.groupBy("path", "run").agg(F.sum(F.col("under").cast("int")).alias("n")).groupBy("path").agg(F.max("n").alias("longest"))
+
+
+def simulate(draw: Callable[[np.random.Generator, int], np.ndarray], n_paths: int = 50_000, capital: float = 1e6, seed: int = 42) -> np.ndarray:
+    """Equity, paths by days, of the returns ``draw(rng, paths)`` gives; blocks of paths go on in one stream of numbers, so their size has no influence."""
+    rng = np.random.default_rng(seed)
+    return capital * np.concatenate([np.cumprod(1 + draw(rng, min(PATH_BLOCK, n_paths - a)), axis=1) for a in range(0, n_paths, PATH_BLOCK)])
+
+
+def _ends(equity: np.ndarray, capital: float) -> pd.DataFrame:
+    peak, dd = np.full(len(equity), capital), np.zeros(len(equity))
+    for e in equity.T:
+        peak = np.maximum(peak, e)
+        dd = np.minimum(dd, e / peak - 1)
+    return pd.DataFrame({"path": np.arange(len(equity)), "terminal": equity[:, -1], "max_dd": dd})
+
+
+def _bands(equity: np.ndarray, capital: float) -> pd.DataFrame:
+    q = np.array([np.quantile(e, [0.05, 0.25, 0.5, 0.75, 0.95]) for e in equity.T])
+    return pd.DataFrame(q, columns=["p05", "p25", "p50", "p75", "p95"]).assign(day=np.arange(1, len(q) + 1))
+
+
+def _longest(equity: np.ndarray, capital: float) -> pd.DataFrame:
+    peak, run, most = np.full(len(equity), capital), np.zeros(len(equity), np.int64), np.zeros(len(equity), np.int64)
+    for e in equity.T:
+        peak = np.maximum(peak, e)
+        run = np.where(e < peak, run + 1, 0)
+        most = np.maximum(most, run)
+    return pd.DataFrame({"path": np.arange(len(equity)), "longest": most})
+
+
+#: What is kept of a simulation, and its columns.
+KEPT = {
+    "outcomes": (_ends, "path long, terminal double, max_dd double"),
+    "bands": (_bands, "day int, p05 double, p25 double, p50 double, p75 double, p95 double"),
+    "underwater": (_longest, "path long, longest long"),
+}
+
+
+def forward(series: DataFrame, keep: str, n_paths: int = 50_000, n_days: int = 252, capital: float = 1e6, seed: int = 42) -> DataFrame:
+    """``outcomes``, ``bands`` or ``underwater`` of a simulation of every strategy from its own daily returns' mean and deviation.
+
+    A strategy's paths by days are one task's matrix (100 MB by default), a size
+    that does not depend on the input. All strategies have the same seed.
+    Strategies with fewer than two returns have no rows.
+    """
+    found, columns = KEPT[keep]
+    stats = series.groupBy("strategy").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd")).where("sd is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                out = found(simulate(lambda rng, k, r=r: rng.normal(r.mean, r.sd, (k, n_days)), n_paths, capital, seed), capital)
+                yield out.assign(strategy=r.strategy)[["strategy", *[c.split()[0] for c in columns.split(", ")]]]
+
+    return spread(stats, "strategy").mapInPandas(run, "strategy string, " + columns)
+
+
+def forward_correlated(returns: DataFrame, keep: str, weights: dict[str, float] | None = None, n_paths: int = 50_000, n_days: int = 252, capital: float = 1e6, seed: int = 42) -> DataFrame:
+    """The same of a portfolio (``weights`` by ticker, equal by default) whose assets are drawn together, with means and covariance of their ``returns``."""
+    found, columns = KEPT[keep]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tickers, x = matrix(pdf)
+        w = np.array([weights.get(t, 0.0) for t in tickers]) if weights else np.full(len(tickers), 1 / len(tickers))
+        mean, cov = x.mean(axis=0), np.atleast_2d(np.cov(x, rowvar=False))
+        return found(simulate(lambda rng, k: rng.multivariate_normal(mean, cov, (k, n_days)) @ w, n_paths, capital, seed), capital)
+
+    return returns.select("date", "ticker", "r").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, columns)

@@ -380,10 +380,24 @@ def mc_run_summary(spark, d):
     return s.select("run_id", *[F.round(c, places.get(c, 4)).alias(c) for c in s.columns[1:]])
 
 
+@query()
+def mc_strategy_terminal(spark, d):
+    return mc.forward(strategies(spark, d), "outcomes")
+
+
+@query()
+def mc_strategy_bands(spark, d):
+    return mc.forward(strategies(spark, d), "bands")
+
+
+@query()
+def mc_strategy_underwater(spark, d):
+    return mc.forward(strategies(spark, d), "underwater")
+
+
 @query()
 def mc_correlated(spark, d):
-    walk = mc.correlated_paths(spark, [0.0004, 0.0002], [[1e-4, 4e-5], [4e-5, 9e-5]], [0.6, 0.4], 200, 60)
-    return mc.outcomes(walk, 1e6)
+    return mc.forward_correlated(pn.simple_returns(daily(spark, d)), "outcomes")
 
 
 @query(EQ + ", mo as (select strategy, year(date) as year, month(date) as m, exp(sum(ln(1 + ret))) - 1 as x from eq group by 1, 2, 3) select strategy, cast(year as bigint) as year, " + ", ".join(f"round(max(case when m = {m} then x end), 8) as m{m:02d}" for m in range(1, 13)) + " from mo group by strategy, year")

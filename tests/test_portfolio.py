@@ -272,6 +272,36 @@ def test_monte_carlo(spark):
     assert mc.underwater(n, 1.0).first().longest == 3
 
 
+def test_forward_simulation_is_of_full_size_and_from_the_stored_returns(spark, smoke):
+    from panelforge.queries_reference import QUERIES, strategies
+
+    own = strategies(spark, smoke).toPandas().groupby("strategy").ret.agg(["mean", "std"])
+    ends = QUERIES["mc_strategy_terminal"](spark, smoke).toPandas()
+    bands = QUERIES["mc_strategy_bands"](spark, smoke).toPandas()
+    longest = QUERIES["mc_strategy_underwater"](spark, smoke).toPandas()
+    assert set(ends.strategy) == set(own.index) and len(ends) == len(longest) == 50_000 * len(own) and len(bands) == 252 * len(own)
+    name = own.index[0]
+    equity = 1e6 * np.cumprod(1 + np.random.default_rng(42).normal(*own.loc[name], (50_000, 252)), axis=1)
+    peak = np.maximum(np.maximum.accumulate(equity, axis=1), 1e6)
+    mine = ends[ends.strategy == name].sort_values("path")
+    np.testing.assert_allclose(mine.terminal, equity[:, -1], rtol=1e-9)
+    np.testing.assert_allclose(mine.max_dd, (equity / peak - 1).min(axis=1), atol=1e-9)
+    np.testing.assert_allclose(bands[bands.strategy == name].sort_values("day").p05, np.quantile(equity, 0.05, axis=0), rtol=1e-9)
+    runs = [max(map(len, "".join("u" if x else " " for x in row).split()), default=0) for row in equity[:50] < peak[:50]]
+    assert list(longest[longest.strategy == name].sort_values("path").longest[:50]) == runs
+
+
+def test_correlated_simulation_is_of_all_assets(spark, smoke):
+    from panelforge.plans.panels import daily
+    from panelforge.queries_reference import QUERIES
+
+    x = pn.simple_returns(daily(spark, smoke)).toPandas().pivot(index="date", columns="ticker", values="r").dropna().to_numpy()
+    got = QUERIES["mc_correlated"](spark, smoke).toPandas().sort_values("path")
+    r = np.random.default_rng(42).multivariate_normal(x.mean(axis=0), np.cov(x, rowvar=False), (200, 252)).mean(axis=2)
+    assert len(got) == 50_000 and x.shape[1] == 6
+    np.testing.assert_allclose(got.terminal[:200], 1e6 * np.prod(1 + r, axis=1), rtol=1e-6)
+
+
 def test_regimes(spark):
     rng = np.random.default_rng(3)
     r = np.concatenate([rng.normal(0, 0.005, 300), rng.normal(0, 0.025, 300)])
