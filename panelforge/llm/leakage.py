@@ -10,15 +10,17 @@ positional bounds, and what is left is verified word by word.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from panelforge.llm.reading import fold, gram_hashes, page_stream, word_ends
 
@@ -26,6 +28,8 @@ from panelforge.llm.reading import fold, gram_hashes, page_stream, word_ends
 SHINGLE, ANCHOR, SEED = 12, 10, 6
 #: Words of an item-sized window, and words of the item that must stand in a page.
 WINDOW, ENOUGH = 25, 23
+#: Items that one passage has at most; a longer opening that more texts share is an instruction.
+PASSAGE = 20
 #: A page that holds a window shares at least SHARED of its shingles; the LEFT most frequent ones are no prefix. So at least (SHARED - LEFT) of a window's shingles are shared prefix shingles.
 SHARED, LEFT = 0.35, 0.12
 #: Letters by which shared shingles of one place may be shifted against each other (half, twice).
@@ -40,9 +44,9 @@ ITEM_GAP, PAGE_GAP = 30, 600
 
 @dataclass
 class Items:
-    """Streams of a block of items and where each one's words end."""
+    """Streams of a block of different texts, where each one's words end and the items that have it."""
 
-    ids: np.ndarray
+    ids: list[list[int]]
     streams: list[bytes]
     ends: list[np.ndarray]
 
@@ -75,15 +79,42 @@ def _sentences(text: str) -> list[str]:
     return re.split(r"(?<=[.?!:])\s+", text.strip())
 
 
+def heads(text: str) -> list[int]:
+    """A hash of each run of leading sentences of four or more words, the shortest run first."""
+    h, out = hashlib.blake2b(digest_size=8), []
+    for sentence in _sentences(text):
+        if len(sentence.split()) < 4:
+            break
+        h.update(fold(sentence) + b"|")
+        out.append(int.from_bytes(h.digest(), "big", signed=True))
+    return out
+
+
+def body(text: str, shared: Mapping[int, int]) -> str:
+    """The text without the instructions before it; ``shared`` has in how many texts each of the shared :func:`heads` stands.
+
+    Sentences that the same texts share make one piece, taken off or kept as a
+    whole. A piece is the passage's own text, and kept with all after it, if the
+    text could not be found without it, or if it could be found by itself (it has
+    ENOUGH words) and no more than PASSAGE texts share it.
+    """
+    sentences, counts = _sentences(text), [shared.get(h, 1) for h in heads(text)]
+    length, start = [len(s.split()) for s in sentences], 0
+    while start < len(counts) and counts[start] > 1:
+        end = start + 1
+        while end < len(counts) and counts[end] == counts[start]:
+            end += 1
+        left = sum(length[end:])
+        if not left or left < ENOUGH <= sum(length) or (sum(length[start:end]) >= ENOUGH and counts[start] <= PASSAGE):
+            break
+        start = end
+    return " ".join(sentences[start:])
+
+
 def bodies(texts: list[str]) -> list[str]:
-    """The texts without leading sentences of four or more words that several of them begin with (instructions)."""
-    rest = [_sentences(t) for t in texts]
-    while True:
-        heads = Counter(fold(r[0]) for r in rest if r)
-        shared = [bool(r) and len(r[0].split()) >= 4 and heads[fold(r[0])] > 1 for r in rest]
-        if not any(shared):
-            return [" ".join(r) for r in rest]
-        rest = [r[1:] if s else r for r, s in zip(rest, shared, strict=True)]
+    """The texts without the instructions that several different ones begin with."""
+    shared = Counter(h for t in set(texts) for h in heads(t))
+    return [body(t, shared) for t in texts]
 
 
 def index_of(items: Items, keep: set[int] | np.ndarray | None = None) -> Index:
@@ -268,15 +299,23 @@ def _streams(batch: pa.RecordBatch) -> Iterator[bytes]:
         yield page_stream(t.as_py(), None if not a.is_valid else a.values.to_numpy(zero_copy_only=False), None if not b.is_valid else b.values.to_numpy(zero_copy_only=False))
 
 
+def _head_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame({"head": [h for t in pdf["text"] for h in heads(t)]}, dtype="int64")
+
+
 def _blocks(eval_items: DataFrame) -> Iterator[Items]:
-    """Items in blocks of bounded size, each brought to the driver by itself, without the instructions that items of the block share."""
-    rows = eval_items.select("item_id", "text").where("item_id is not null and text is not null").distinct().toLocalIterator()
-    ids: list[int] = []
+    """Different texts in blocks of bounded size, each brought to the driver by itself, without the instructions that texts of the whole table share."""
+    pairs = eval_items.select("item_id", "text").where("item_id is not null and text is not null").distinct()
+    different = pairs.groupBy("text").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
+    counted = different.select("text").mapInPandas(_head_rows, "head long").groupBy("head").count().where("count > 1")
+    shared = {r["head"]: r["count"] for r in counted.collect()}
+    ids: list[list[int]] = []
     texts: list[str] = []
     size = 0
-    for row in rows:
-        ids.append(row["item_id"])
-        texts.append(row["text"])
+    for row in different.orderBy(F.col("ids")[0], "text").toLocalIterator():
+        ids.append(list(row["ids"]))
+        texts.append(body(row["text"], shared))
         size += len(row["text"])
         if size >= BLOCK_LETTERS:
             yield _items(ids, texts)
@@ -285,9 +324,9 @@ def _blocks(eval_items: DataFrame) -> Iterator[Items]:
         yield _items(ids, texts)
 
 
-def _items(ids: list[int], texts: list[str]) -> Items:
-    pairs = [word_ends(t) for t in bodies(texts)]
-    return Items(np.array(ids), [p[0] for p in pairs], [p[1] for p in pairs])
+def _items(ids: list[list[int]], texts: list[str]) -> Items:
+    pairs = [word_ends(t) for t in texts]
+    return Items(ids, [p[0] for p in pairs], [p[1] for p in pairs])
 
 
 def find_leaks(documents: DataFrame, eval_items: DataFrame, enough: int = ENOUGH) -> DataFrame:
@@ -296,7 +335,8 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, enough: int = ENOUGH
     Pages are read column by column by their line boxes. ``words`` is the length
     of the item's longest run that stands in the page, at most one word in ten
     missing or replaced; advertisements between its lines are skipped. Sentences
-    that several items begin with are instructions and are not looked for.
+    that several different texts begin with are instructions and are not looked
+    for (see :func:`body`). A text that several items have is looked for once.
 
     The corpus is read twice: once to count in how many pages each shingle of
     the items occurs (counts are summed per task before they are shuffled), once
@@ -305,7 +345,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, enough: int = ENOUGH
     ``BLOCK_LETTERS`` letters, one pass each. Items too short for a run of
     ``enough`` words have no rows. Null and empty texts match nothing, null ids
     are left out, repeated pages each give their rows, repeated items one.
-    Runs an action per block of items when called.
+    Runs an action for the shared sentences and one per block of items when called.
     """
     spark = documents.sparkSession
     pages = documents.select("doc_id", "text", "line_x", "line_y").where("doc_id is not null and text is not null and text <> ''")
@@ -333,7 +373,7 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame, enough: int = ENOUGH
         def join(batches, chosen=chosen):
             items, prefix, bounds = chosen.value
             for batch in batches:
-                rows = [(d.as_py(), int(items.ids[k]), w, m) for d, s in zip(batch.column("doc_id"), _streams(batch), strict=True) for k, w, m in leaks_of(s, items, prefix, bounds, enough)]
+                rows = [(d.as_py(), i, w, m) for d, s in zip(batch.column("doc_id"), _streams(batch), strict=True) for k, w, m in leaks_of(s, items, prefix, bounds, enough) for i in items.ids[k]]
                 yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "matched"]).astype({"doc_id": "int64", "item_id": "int64", "words": "int32", "matched": "int32"}), preserve_index=False)
 
         found = pages.mapInArrow(join, "doc_id long, item_id long, words int, matched int")

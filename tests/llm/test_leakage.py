@@ -90,6 +90,22 @@ def test_blocks_of_items(spark, case, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_items_that_share_text_are_found(spark, monkeypatch):
+    rng = random.Random(11)
+    say = lambda ws: " ".join(ws).capitalize() + "."
+    same, passage = words(rng, 60), [words(rng, 15) for _ in range(5)]
+    first, second = (" ".join(map(say, passage)) + " " + say(words(rng, 8)) for _ in range(2))
+    ask = say(words(rng, 30))
+    texts = {1: say(same), 2: say(same), 3: first, 4: second, 5: ask + " " + say(words(rng, 50)), 6: "Short line here. " + say(words(rng, 50))}
+    texts |= {k: ask + " " + say(words(rng, 50)) for k in range(10, 40)}
+    page = lambda d, body: (d, " ".join(words(rng, 50) + body + words(rng, 50)), [1], [1], "", 1)
+    docs = [page(1, same), page(2, sum(passage, [])[:40]), page(3, ask.split())]
+    for letters in (4_000_000, 300):  # an instruction is one, however the items fall into blocks
+        monkeypatch.setattr(leakage, "BLOCK_LETTERS", letters)
+        got = find_leaks(*frames(spark, docs, texts)).collect()
+        assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 2), (2, 3), (2, 4)} and len(got) == 4
+
+
 def test_empty(spark, case):
     docs, texts, _ = case
     d, i = frames(spark, docs, texts)
