@@ -650,6 +650,50 @@ def hrp_2asset(spark, d):
     return rounded(_two_numpy(spark, d, lambda t, x: {"ticker": t, "w": hrp(sample(x) * 252)[0]}, "ticker string, w double"), 8)
 
 
+def _whole(spark, d, solve, name):
+    """``ticker, <name>`` of ``solve(returns, covariance a year, market shares)`` over all tickers."""
+    import pandas as pd
+
+    from panelforge.functions.covariances import sample
+
+    p = weekly(spark, d)
+
+    def run(pdf):
+        tickers, x = cv.matrix(pdf)
+        market = pdf.groupby("ticker")["w"].first()[tickers].to_numpy(float)
+        return pd.DataFrame({"ticker": tickers, name: solve(x, sample(x) * 52, market)})
+
+    return pn.log_returns(p).join(_market(p), "ticker").select("date", "ticker", "r", "w").withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, f"ticker string, {name} double")
+
+
+@query()
+def kelly_panel(spark, d):
+    from panelforge.functions.weights import kelly
+
+    return _whole(spark, d, lambda x, c, market: kelly(x.mean(axis=0) * 52, c), "w")
+
+
+@query()
+def bl_posterior_panel(spark, d):
+    from panelforge.functions.weights import equilibrium, momentum_views, posterior
+
+    return _whole(spark, d, lambda x, c, market: posterior(c, equilibrium(c, market), *momentum_views(x, c, 52))[0], "mu")
+
+
+@query()
+def risk_parity_panel(spark, d):
+    from panelforge.functions.weights import risk_budget
+
+    return _whole(spark, d, lambda x, c, market: risk_budget(c), "w")
+
+
+@query()
+def hrp_panel(spark, d):
+    from panelforge.functions.weights import hrp
+
+    return _whole(spark, d, lambda x, c, market: hrp(c)[0], "w")
+
+
 _LOOK, _VOL = 104, 52
 
 

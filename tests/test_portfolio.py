@@ -302,6 +302,29 @@ def test_correlated_simulation_is_of_all_assets(spark, smoke):
     np.testing.assert_allclose(got.terminal[:200], 1e6 * np.prod(1 + r, axis=1), rtol=1e-6)
 
 
+def test_allocation_is_over_all_tickers(spark, smoke):
+    from panelforge.plans.panels import weekly
+    from panelforge.queries_reference import QUERIES
+
+    p = weekly(spark, smoke)
+    x = pn.log_returns(p).toPandas().pivot(index="date", columns="ticker", values="r").dropna()
+    volume = p.toPandas().groupby("ticker").volume.sum()[x.columns].to_numpy(float)
+    got = {q: QUERIES[q](spark, smoke).toPandas().set_index("ticker").iloc[:, 0] for q in ("kelly_panel", "bl_posterior_panel", "risk_parity_panel", "hrp_panel")}
+    assert len(x.columns) == 6 and all(set(g.index) == set(x.columns) for g in got.values())
+    c = np.cov(x.to_numpy(), rowvar=False) * 52
+    w = got["risk_parity_panel"][x.columns].to_numpy()
+    np.testing.assert_allclose(w * (c @ w) / (w @ c @ w), 1 / 6, atol=1e-8)
+    assert abs(got["hrp_panel"].sum() - 1) < 1e-12 and (got["hrp_panel"] > 0).all()
+    excess = x.mean().to_numpy() * 52 - 0.04
+    on = excess > 0
+    full = np.zeros(6)
+    full[on] = np.clip(0.5 * np.linalg.inv(c[np.ix_(on, on)]) @ excess[on], 0, 0.4)
+    np.testing.assert_allclose(got["kelly_panel"][x.columns], full * min(1, 1.5 / max(full.sum(), 1e-300)), atol=1e-9)
+    view, prior = x.iloc[-52:].sum().to_numpy(), 2.5 * c @ (volume / volume.sum())
+    gain = 0.05 * c @ np.linalg.inv(0.05 * c + np.diag(np.diag(c) * 0.15))
+    np.testing.assert_allclose(got["bl_posterior_panel"][x.columns], prior + gain @ (view - prior), rtol=1e-7)
+
+
 def test_regimes(spark):
     rng = np.random.default_rng(3)
     r = np.concatenate([rng.normal(0, 0.005, 300), rng.normal(0, 0.025, 300)])
