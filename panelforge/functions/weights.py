@@ -68,12 +68,12 @@ def posterior(cov: np.ndarray, prior: np.ndarray, views: np.ndarray, variance: n
     return spread @ (precision_prior @ prior + weighted @ views), spread
 
 
-def black_litterman(returns: np.ndarray, cov: np.ndarray, market: np.ndarray, use_views: bool = True, tau: float = 0.05) -> np.ndarray:
+def black_litterman(returns: np.ndarray, cov: np.ndarray, market: np.ndarray, use_views: bool = True, tau: float = 0.05, confidence: float = 0.25) -> np.ndarray:
     """Posterior expected returns from momentum views; the equilibrium where views are off or the system is singular."""
     prior = equilibrium(cov, market)
     if not use_views:
         return prior
-    views, variance = momentum_views(returns, cov, tau=tau)
+    views, variance = momentum_views(returns, cov, tau=tau, confidence=confidence)
     try:
         return posterior(cov, prior, views, variance, tau)[0]
     except np.linalg.LinAlgError:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import inference as I
 from panelforge.functions.frames import empty
-from panelforge.functions.weights import kelly
+from panelforge.functions.weights import black_litterman, kelly
 from panelforge.operators.allocation import members, target_of
 from panelforge.operators.backtest import run_backtest
 from panelforge.operators.covariance import matrix
@@ -164,30 +164,49 @@ def stability_windows(first, last, years: int = 3, step_months: int = 3) -> list
     return out
 
 
-STABILITY = "window_start date, combo int, lookback int, fraction double, sharpe double"
+STABILITY = "window_start date, combo int, parameters map<string,double>, sharpe double"
+Signal = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def parameter_runs(panel: DataFrame, lookbacks: list[int], fractions: list[float], years: int = 3, step_months: int = 3, least: int = 126, periods: int = 252, rf: float = 0.04) -> DataFrame:
-    """Sharpe ratio of every parameter combination in every window, one group per pair."""
+def bl_kelly_signal(fraction: float, tau: float, view_confidence: float, lookback: int, periods: int = 252, rf: float = 0.04, turnover: float | None = 0.3) -> Signal:
+    """Weights from the log returns so far and the current weights: Kelly on Black-Litterman returns, equal weights until there are ``lookback`` rows."""
+    from panelforge.functions.covariances import ledoit_wolf
+
+    def signal(x: np.ndarray, current: np.ndarray) -> np.ndarray:
+        even = np.full(len(current), 1 / len(current))
+        if len(x) < lookback:
+            return even
+        cov = ledoit_wolf(x[-lookback:]) * periods
+        mean = black_litterman(x[-lookback:], cov, even, tau=tau, confidence=view_confidence)
+        return kelly(mean, cov, rf, fraction, current=current, turnover=turnover)
+
+    return signal
+
+
+def parameter_runs(panel: DataFrame, factory: Callable[..., Signal], grid: dict[str, list], years: int = 3, step_months: int = 3, least: int = 126, rf: float = 0.04) -> DataFrame:
+    """Sharpe ratio of ``factory(**parameters)`` for every combination of ``grid`` in every window, one group per pair.
+
+    A signal gets the window's log returns up to a rebalance and the current
+    weights, and gives the target. Windows of fewer than ``least`` rows are left out.
+    """
     span = panel.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
     windows = stability_windows(span["a"], span["b"], years, step_months) if span["a"] else []
-    combos = list(itertools.product(lookbacks, fractions))
+    combos = [dict(zip(grid, c, strict=True)) for c in itertools.product(*grid.values())]
     marks = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in windows]) if windows else F.array().cast("array<struct<a:date,b:date>>")
     inside = panel.select("date", "ticker", "px", F.explode(F.filter(marks, lambda m: (F.col("date") >= m["a"]) & (F.col("date") <= m["b"]))).alias("m"))
     tasks = inside.select("date", "ticker", "px", F.col("m.a").alias("window_start"), F.explode(F.array(*[F.lit(k) for k in range(len(combos))])).alias("combo"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot_table(index="date", columns="ticker", values="px").sort_index().dropna()
-        lookback, fraction = combos[pdf["combo"].iloc[0]]
+        parameters = combos[pdf["combo"].iloc[0]]
         if len(wide) < least:
             return empty(STABILITY)
+        signal = factory(**parameters)
         px = wide.to_numpy(float)
         r = np.diff(np.log(px), axis=0)
         month = pd.to_datetime(wide.index).month.to_numpy()
         reb = np.concatenate([[True], month[1:] != month[:-1]])
-        from panelforge.functions.covariances import ledoit_wolf
-
-        n, w, equity, out = px.shape[1], np.zeros(px.shape[1]), 1.0, []
+        w, equity, out = np.zeros(px.shape[1]), 1.0, []
         for t in range(len(px)):
             before = equity
             if t:
@@ -195,12 +214,11 @@ def parameter_runs(panel: DataFrame, lookbacks: list[int], fractions: list[float
                 growth = 1 - w.sum() + held.sum()
                 equity, w = equity * growth, held / growth
             if reb[t]:
-                x = r[max(0, t - lookback) : t]
-                target = np.full(n, 1 / n) if len(x) < lookback else kelly(x.mean(axis=0) * periods, ledoit_wolf(x) * periods, rf, fraction, current=w, turnover=0.3)
+                target = signal(r[:t], w)
                 equity *= 1 - 0.0015 * np.abs(target - w).sum()
                 w = target
             out.append(equity / before - 1)
-        return pd.DataFrame([(pdf["window_start"].iloc[0], pdf["combo"].iloc[0], lookback, fraction, _sharpe(np.array(out), rf))], columns=[c.split()[0] for c in STABILITY.split(", ")])
+        return pd.DataFrame([(pdf["window_start"].iloc[0], pdf["combo"].iloc[0], {k: float(v) for k, v in parameters.items()}, _sharpe(np.array(out), rf))], columns=["window_start", "combo", "parameters", "sharpe"])
 
     return spread(tasks, "window_start", "combo").groupBy("window_start", "combo").applyInPandas(run, STABILITY)
 
@@ -208,6 +226,6 @@ def parameter_runs(panel: DataFrame, lookbacks: list[int], fractions: list[float
 def parameter_stability(runs: DataFrame) -> DataFrame:
     """The best combination of each window (the first of equals), and how much each parameter varies over windows: ``parameter, cv, stable``."""
     best = runs.withColumn("rk", F.row_number().over(Window.partitionBy("window_start").orderBy(F.col("sharpe").desc(), "combo"))).where("rk = 1")
-    long = best.select(F.explode(F.array(*[F.struct(F.lit(p).alias("parameter"), F.col(p).cast("double").alias("v")) for p in ("lookback", "fraction")])).alias("x")).select("x.*")
+    long = best.select(F.explode("parameters").alias("parameter", "v"))
     a = long.groupBy("parameter").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.stddev_samp("v").alias("s")).where("n >= 2")
     return a.select("parameter", F.col("n").alias("windows"), F.when(F.abs("m") < 1e-10, 0.0).otherwise(F.col("s") / F.abs("m")).alias("cv")).withColumn("stable", F.col("cv") < 0.5)

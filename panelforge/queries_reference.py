@@ -795,9 +795,13 @@ def hmm_regimes(spark, d):
     return rg.hmm_regimes(strategies(spark, d))
 
 
+#: The reference's 54 combinations.
+GRID = {"fraction": [0.3, 0.5, 0.7], "tau": [0.025, 0.05, 0.1], "view_confidence": [0.15, 0.25, 0.35], "lookback": [189, 252]}
+
+
 @query()
 def param_stability(spark, d):
-    return va.parameter_stability(va.parameter_runs(weekly(spark, d), [26, 52], [0.25, 0.5, 1.0], years=3, step_months=6, least=126, periods=52))
+    return va.parameter_stability(va.parameter_runs(daily(spark, d), va.bl_kelly_signal, GRID))
 
 
 @query(

@@ -325,6 +325,27 @@ def test_allocation_is_over_all_tickers(spark, smoke):
     np.testing.assert_allclose(got["bl_posterior_panel"][x.columns], prior + gain @ (view - prior), rtol=1e-7)
 
 
+def test_parameter_stability_takes_any_strategy_and_grid(spark):
+    from panelforge.queries_reference import GRID
+
+    p = long(spark, prices(300, 5))
+
+    def factory(share, other):
+        return lambda x, current: np.array([share, 1 - share, 0.0])
+
+    runs = va.parameter_runs(p, factory, {"share": [0.0, 0.5, 1.0], "other": [1, 2]}, years=1)
+    got = runs.toPandas()
+    assert set(got.combo) == set(range(6)) and len(got) == 6 * got.window_start.nunique()
+    assert {r.parameter for r in va.parameter_stability(runs.unionByName(runs.withColumn("window_start", F.date_add("window_start", 400)))).collect()} == {"share", "other"}
+    x = np.random.default_rng(0).normal(0.002, 0.01, (260, 3))
+    base = {k: v[1] for k, v in GRID.items()}
+    even = np.full(3, 1 / 3)
+    w = va.bl_kelly_signal(**base, turnover=None)(x, even)
+    for name, value in (("fraction", 0.1), ("view_confidence", 0.9), ("lookback", 189)):
+        assert np.abs(va.bl_kelly_signal(**base | {name: value}, turnover=None)(x, even) - w).max() > 1e-9 or (w == 0.4).all(), name
+    assert np.prod([len(v) for v in GRID.values()]) == 54 and (va.bl_kelly_signal(**base)(x[:100], even) == even).all()
+
+
 def test_regimes(spark):
     rng = np.random.default_rng(3)
     r = np.concatenate([rng.normal(0, 0.005, 300), rng.normal(0, 0.025, 300)])
