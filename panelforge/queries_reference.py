@@ -761,8 +761,7 @@ def hrp_dendrogram(spark, d):
 
 @query()
 def cov_backtests(spark, d):
-    methods = ("sample", "ledoit_wolf", "ewma", "rmt_denoised", "ledoit_wolf_nonlinear")
-    p, s, raw = _raw(spark, d, chosen={m: al.REGISTRY["half_kelly"] | {"method": m} for m in methods})
+    p, s, raw = _raw(spark, d, chosen={m: al.REGISTRY["half_kelly"] | {"method": m} for m in _METHODS})
     return me.risk_report(_expand_folded(p, s, bt.fold(raw)))
 
 

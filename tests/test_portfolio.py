@@ -346,6 +346,12 @@ def test_parameter_stability_takes_any_strategy_and_grid(spark):
     assert np.prod([len(v) for v in GRID.values()]) == 54 and (va.bl_kelly_signal(**base)(x[:100], even) == even).all()
 
 
+def test_covariance_backtests_have_all_estimators(spark, smoke):
+    from panelforge.queries_reference import QUERIES
+
+    assert {r.strategy for r in QUERIES["cov_backtests"](spark, smoke).select("strategy").collect()} == set(C.ESTIMATORS)
+
+
 def test_regimes(spark):
     rng = np.random.default_rng(3)
     r = np.concatenate([rng.normal(0, 0.005, 300), rng.normal(0, 0.025, 300)])
