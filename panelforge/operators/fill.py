@@ -82,7 +82,10 @@ def fill_panel(panel: DataFrame, universe: DataFrame, max_gap: int = 10) -> Data
 
     before = Window.partitionBy("ticker", "_block").orderBy("day")
     steps = wide.where("px is not null and asset_class is not null").withColumn("_block", F.floor(F.col("day") / BLOCK_DAYS))
-    returns = steps.select("asset_class", "day", F.log(F.col("px") / F.lag("px").over(before)).alias("r")).where("r is not null")
+    of = Window.partitionBy("ticker").orderBy("_block")
+    ended = steps.groupBy("ticker", "_block").agg(F.max_by("px", "day").alias("_last")).select("ticker", "_block", F.lag("_last").over(of).alias("_carry"))
+    steps = steps.join(ended, ["ticker", "_block"], "left")
+    returns = steps.select("asset_class", "day", F.log(F.col("px") / F.coalesce(F.lag("px").over(before), "_carry")).alias("r")).where("r is not null")
     by_class = returns.groupBy("asset_class", "day").agg(F.avg(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("r")))).alias("r")).withColumn("_block", F.floor(F.col("day") / BLOCK_DAYS))
     index = blocked_scan(by_class, ["asset_class"], "_block", ["day"], sums={"level": "r"}).select("asset_class", "day", "level")
 

@@ -72,6 +72,15 @@ def test_fill_panel(spark):
     assert fill_panel(spark.createDataFrame([], schema), universe).count() == 0
 
 
+def test_class_returns_cross_blocks(spark):
+    d0, schema = dt.date(1970, 1, 1) + dt.timedelta(days=256 * 72 - 9), "trade_date date, ticker string, px double, volume double, fetched_at timestamp, day int, near int"
+    rows = [(d0 + dt.timedelta(days=i), t, None if (t, i) in {("A", 9), ("C", 9), ("C", 10), ("C", 11)} else k * 1.01**i, 1.0, dt.datetime(2021, 1, 1), 0, 0) for t, k, n in (("A", 10.0, 10), ("B", 20.0, 20), ("C", 30.0, 12)) for i in range(n)]
+    universe = spark.createDataFrame([(t, 5, "bond", None) for t in "ABC"], UNI)
+    by = {(r.ticker, (r.trade_date - d0).days): r for r in fill_panel(spark.createDataFrame(rows, schema), universe).collect()}
+    assert by["A", 9].px_method == "class" and abs(by["A", 9].px - 10 * 1.01**9) < 1e-9
+    assert by["C", 11].px_method == "class" and abs(by["C", 11].px - 30 * 1.01**11) < 1e-9
+
+
 def test_known_sets_against_brute_force(spark):
     rng = np.random.default_rng(5)
     d0 = dt.datetime(2021, 1, 1)
