@@ -829,12 +829,12 @@ def _factor_series(spark, d):
 
 @query()
 def factor_ols(spark, d):
-    return fa.attribute(_factor_series(spark, d), _factors(spark, d), ("mkt_rf", "smb", "hml"))
+    return fa.attribute(_factor_series(spark, d), _factors(spark, d))
 
 
 @query()
 def factor_rolling(spark, d):
-    return fa.rolling_attribution(_factor_series(spark, d), _factors(spark, d), ("mkt_rf", "smb", "hml"), 104)
+    return fa.rolling_attribution(_factor_series(spark, d), _factors(spark, d), window=104)
 
 
 @query(_BT + ", mk1 as (select date, avg(sr) as m from r group by date having count(*) = 6) select strategy, round(regr_intercept(ret, m), 8) as alpha, round(regr_slope(ret, m), 6) as beta, round(regr_r2(ret, m), 6) as r2, count(*) as n from bk join mk1 on bk.date = mk1.date group by strategy")

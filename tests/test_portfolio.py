@@ -352,6 +352,13 @@ def test_covariance_backtests_have_all_estimators(spark, smoke):
     assert {r.strategy for r in QUERIES["cov_backtests"](spark, smoke).select("strategy").collect()} == set(C.ESTIMATORS)
 
 
+def test_factor_queries_use_all_six_factors(spark, smoke):
+    from panelforge.queries_reference import QUERIES
+
+    assert {r.term for r in QUERIES["factor_ols"](spark, smoke).collect()} == {"alpha", *fa.FACTORS}
+    assert len(QUERIES["factor_rolling"](spark, smoke).first().betas) == 6
+
+
 def test_regimes(spark):
     rng = np.random.default_rng(3)
     r = np.concatenate([rng.normal(0, 0.005, 300), rng.normal(0, 0.025, 300)])
