@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 
 from panelforge.llm import leakage
-from panelforge.llm.leakage import bodies, find_leaks
+from panelforge.llm.leakage import bodies, find_leaks, prefix_of, windows_of
 from panelforge.llm.reading import fold, page_stream, reading_order
 
 DOCS = "doc_id long, text string, line_x array<int>, line_y array<int>, item_id string, words int"
@@ -83,11 +84,34 @@ def test_planted(spark, case):
     assert find_leaks(d.union(d), i.union(i)).count() == 2 * len(want)
 
 
-def test_blocks_of_items(spark, case, monkeypatch):
+def test_both_ways_of_joining(spark, case, monkeypatch):
     docs, texts, want = case
-    monkeypatch.setattr(leakage, "BLOCK_LETTERS", 1200)
-    got = find_leaks(*frames(spark, docs, texts))
-    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    few = find_leaks(*frames(spark, docs, texts))
+    monkeypatch.setattr(leakage, "SENT_SHINGLES", 10)
+    many = find_leaks(*frames(spark, docs, texts))
+    assert {(r.doc_id, r.item_id) for r in many.collect()} == want
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+
+
+def test_small_tables_lose_nothing(spark, case, monkeypatch):
+    docs, texts, want = case
+    monkeypatch.setattr(leakage, "MOST_SLOTS", 8)
+    for most in (1_000_000, 10):
+        monkeypatch.setattr(leakage, "SENT_SHINGLES", most)
+        assert {(r.doc_id, r.item_id) for r in find_leaks(*frames(spark, docs, texts)).collect()} == want
+
+
+def test_prefix_bound():
+    """A page that shares SHARED of a window's shingles, whichever, has NEEDED of its prefix; the rarest are kept."""
+    rng = np.random.default_rng(2)
+    ends = np.cumsum(rng.integers(2, 9, 60))
+    n = int(ends[-1]) - leakage.SHINGLE + 1
+    frequency = rng.integers(0, 1000, n)
+    kept = np.zeros(n, dtype=bool)
+    kept[prefix_of(ends, rng.integers(-(2**62), 2**62, n), frequency)] = True
+    assert 0.5 < kept.mean() < 0.9 and frequency[kept].mean() < 0.8 * frequency[~kept].mean()
+    for first, end in zip(*windows_of(ends), strict=True):
+        assert (~kept[first:end]).sum() <= int(leakage.SHARED * (end - first)) - leakage.NEEDED
 
 
 def test_items_that_share_text_are_found(spark, monkeypatch):
@@ -100,8 +124,8 @@ def test_items_that_share_text_are_found(spark, monkeypatch):
     texts |= {k: ask + " " + say(words(rng, 50)) for k in range(10, 40)}
     page = lambda d, body: (d, " ".join(words(rng, 50) + body + words(rng, 50)), [1], [1], "", 1)
     docs = [page(1, same), page(2, sum(passage, [])[:40]), page(3, ask.split())]
-    for letters in (4_000_000, 300):  # an instruction is one, however the items fall into blocks
-        monkeypatch.setattr(leakage, "BLOCK_LETTERS", letters)
+    for most in (1_000_000, 300):  # an instruction is one by all items, whichever way they are joined
+        monkeypatch.setattr(leakage, "SENT_SHINGLES", most)
         got = find_leaks(*frames(spark, docs, texts)).collect()
         assert {(r.doc_id, r.item_id) for r in got} == {(1, 1), (1, 2), (2, 3), (2, 4)} and len(got) == 4
 
@@ -113,8 +137,6 @@ def test_empty(spark, case):
 
 
 def test_reading():
-    import numpy as np
-
     assert list(reading_order(np.array([900, 100, 905, 110]), np.array([10, 12, 40, 44]))) == [1, 3, 0, 2]
     assert fold("Heſmoor—HESMOOR!") == fold("hesmoorhesmoor") and fold("Tür") == fold("tur") and fold("ﬁre") == fold("fire")
     assert page_stream("b\na", [900, 100], [1, 2]) == fold("ab") and page_stream("b\na", [900], [1]) == fold("ba") and page_stream(None, None, None) == b""
