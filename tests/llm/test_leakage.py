@@ -95,7 +95,7 @@ def test_both_ways_of_joining(spark, case, monkeypatch):
 
 def test_small_tables_lose_nothing(spark, case, monkeypatch):
     docs, texts, want = case
-    monkeypatch.setattr(leakage, "MOST_SLOTS", 8)
+    monkeypatch.setattr(leakage, "MOST_SLOTS", 15)
     for most in (1_000_000, 10):
         monkeypatch.setattr(leakage, "SENT_SHINGLES", most)
         assert {(r.doc_id, r.item_id) for r in find_leaks(*frames(spark, docs, texts)).collect()} == want
