@@ -10,22 +10,24 @@ from pyspark.sql import functions as F
 from panelforge.functions.columns import day_number, number
 from panelforge.operators.nodata import no_data_codes
 from panelforge.plans.scans import blocked_scan
+from panelforge.plans.storage import write_table
 
 #: Days per block.
 BLOCK_DAYS = 256
+#: Largest log return that counts in a class's mean.
+STEP = 0.5
 
 
 def neighbours(df: DataFrame, entity: str, day: str, columns: Sequence[str]) -> DataFrame:
-    """Add ``<c>_prev`` and ``<c>_next``, structs ``(at, v)`` of the nearest observed value at or before and at or after each row.
+    """Add ``<c>_prev`` and ``<c>_next``, structs ``(at, v)`` of the nearest observed value at or before and at or after each row, and ``<c>_before``, the last one before it.
 
-    ``(entity, day)`` must be unique and non-null, ``day`` an integer.
+    ``(entity, day)`` must be unique and non-null, ``day`` an integer. Writes a table (an action), so what ``df`` comes from is evaluated once.
     """
-    framed = df.withColumn("_block", F.floor(F.col(day) / BLOCK_DAYS))
-    for c in columns:
-        framed = framed.withColumn(f"_seen_{c}", F.when(F.col(c).isNotNull(), F.struct(F.col(day).alias("at"), F.col(c).alias("v"))))
-    back = blocked_scan(framed, [entity], "_block", [day], lasts={f"{c}_prev": f"_seen_{c}" for c in columns})
-    both = blocked_scan(back, [entity], "_block", [day], lasts={f"{c}_next": f"_seen_{c}" for c in columns}, descending=True)
-    return both.drop("_block", *[f"_seen_{c}" for c in columns])
+    seen = [F.when(F.col(c).isNotNull(), F.struct(F.col(day).alias("at"), F.col(c).alias("v"))).alias(f"_seen_{c}") for c in columns]
+    framed = write_table(df.select("*", F.floor(F.col(day) / BLOCK_DAYS).alias("_block"), *seen), "days")
+    source = {c: f"_seen_{c}" for c in columns}
+    scanned = blocked_scan(framed, [entity], "_block", [day], lasts={f"{c}_prev": v for c, v in source.items()}, befores={f"{c}_before": v for c, v in source.items()}, nexts={f"{c}_next": v for c, v in source.items()})
+    return scanned.drop("_block", *source.values())
 
 
 def fill_series(df: DataFrame, entity: str, day: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), max_gap: int = 10) -> DataFrame:
@@ -68,7 +70,10 @@ def fill_panel(panel: DataFrame, universe: DataFrame, max_gap: int = 10) -> Data
     class over the days between; ``carried``: that price unmoved, where the class
     is unknown or has no returns; else ``missing`` and null. ``px_distance`` is in
     days. Of several prices of a day the one fetched last counts (ties: the
-    larger). Asset classes match without regard to case and outer blanks.
+    larger). Asset classes match without regard to case and outer blanks. In a
+    class's mean a log return counts as at most STEP up or down, so one wrong price
+    does not move a class. Tables of days, neighbours and class levels (one row a
+    class and day) are written (actions).
     """
     codes = no_data_codes(panel).select(F.col("code").alias("px"), F.lit(True).alias("is_code"))
     rows = panel.select("ticker", "trade_date", "fetched_at", number("px").alias("px")).where("ticker is not null and trade_date is not null").join(codes, "px", "left")
@@ -78,16 +83,11 @@ def fill_panel(panel: DataFrame, universe: DataFrame, max_gap: int = 10) -> Data
         F.max(carries).alias("delivered"),
     )
     kinds = universe.select("ticker", F.upper(F.trim("asset_class")).alias("asset_class")).where("ticker is not null").groupBy("ticker").agg(F.max(F.when(F.col("asset_class") != "", F.col("asset_class"))).alias("asset_class"))
-    wide = neighbours(days, "ticker", "day", ["px"]).join(kinds, "ticker", "left")
-
-    before = Window.partitionBy("ticker", "_block").orderBy("day")
-    steps = wide.where("px is not null and asset_class is not null").withColumn("_block", F.floor(F.col("day") / BLOCK_DAYS))
-    of = Window.partitionBy("ticker").orderBy("_block")
-    ended = steps.groupBy("ticker", "_block").agg(F.max_by("px", "day").alias("_last")).select("ticker", "_block", F.lag("_last").over(of).alias("_carry"))
-    steps = steps.join(ended, ["ticker", "_block"], "left")
-    returns = steps.select("asset_class", "day", F.log(F.col("px") / F.coalesce(F.lag("px").over(before), "_carry")).alias("r")).where("r is not null")
-    by_class = returns.groupBy("asset_class", "day").agg(F.avg(F.greatest(F.lit(-0.5), F.least(F.lit(0.5), F.col("r")))).alias("r")).withColumn("_block", F.floor(F.col("day") / BLOCK_DAYS))
-    index = blocked_scan(by_class, ["asset_class"], "_block", ["day"], sums={"level": "r"}).select("asset_class", "day", "level")
+    wide = write_table(neighbours(days.join(kinds, "ticker", "left"), "ticker", "day", ["px"]), "neighbours")
+    returns = wide.where("px is not null and asset_class is not null and px_before is not null").select("asset_class", "day", F.log(F.col("px") / F.col("px_before.v")).alias("r"))
+    by_class = returns.groupBy("asset_class", "day").agg(F.avg(F.greatest(F.lit(-STEP), F.least(F.lit(STEP), F.col("r")))).alias("r"))
+    to_day = Window.partitionBy("asset_class").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    index = write_table(by_class.select("asset_class", "day", F.sum("r").over(to_day).alias("level")), "index")
 
     p, n = F.col("px_prev"), F.col("px_next")
     back, ahead = F.col("day") - p["at"], n["at"] - F.col("day")

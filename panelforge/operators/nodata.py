@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import number
+from panelforge.plans.storage import broadcast_if_small, write_table
+
+#: Frequent values (some 50 bytes each) up to which they are broadcast; beyond, the join shuffles.
+BROADCAST_VALUES = 200_000
 
 
 def no_data_codes(panel: DataFrame, value: str = "px", entity: str = "ticker", share: float = 0.08, least: int = 2, far: float = 20.0) -> DataFrame:
@@ -20,9 +24,11 @@ def no_data_codes(panel: DataFrame, value: str = "px", entity: str = "ticker", s
     nulls and NaN never; an empty table has no codes.
     """
     rows = panel.select(F.col(entity).alias("_e"), number(value).alias("_v")).where("_e is not null and _v is not null")
-    seen = rows.groupBy("_e", "_v").agg(F.count("*").alias("n"))
-    level = rows.where("_v > 0").groupBy("_e").agg(F.percentile_approx("_v", 0.5, 200).alias("level"))
-    n_all = seen.agg(F.countDistinct("_e").alias("n_all")).withColumn("_k", F.lit(0))
-    frequent = seen.where("_v <> 0").groupBy("_v").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= least).withColumn("_k", F.lit(0)).join(F.broadcast(n_all), "_k").where(F.col("n_e") >= F.col("n_all") * share)
-    near = seen.join(frequent.select("_v"), "_v").join(level, "_e", "left").select("_v", F.coalesce((F.col("_v") > 0) & (F.greatest(F.col("_v") / F.col("level"), F.col("level") / F.col("_v")) <= far), F.lit(False)).cast("double").alias("near"))
-    return near.groupBy("_v").agg(F.avg("near").alias("near")).where("near <= 0.2").select(F.col("_v").alias("code"))
+    levels = write_table(rows.groupBy("_e").agg(F.percentile_approx(F.when(F.col("_v") > 0, F.col("_v")), 0.5, 200).alias("level")), "levels")
+    wanted = max(float(least), levels.count() * share)
+    often = rows.where("_v <> 0").groupBy("_v").agg(F.count("*").alias("n"), F.min("_e").alias("a"), F.max("_e").alias("b")).where((F.col("n") >= wanted) & (F.col("a") != F.col("b"))).select("_v")
+    often = write_table(often, "often")
+    seen = rows.join(broadcast_if_small(often, BROADCAST_VALUES), "_v").groupBy("_v", "_e").agg(F.count("*").alias("n")).join(levels, "_e")
+    near = F.coalesce((F.col("_v") > 0) & (F.greatest(F.col("_v") / F.col("level"), F.col("level") / F.col("_v")) <= far), F.lit(False)).cast("double")
+    found = seen.groupBy("_v").agg(F.count("*").alias("n_e"), F.avg(near).alias("near")).where((F.col("n_e") >= wanted) & (F.col("near") <= 0.2))
+    return write_table(found.select(F.col("_v").alias("code")), "codes")

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from panelforge.functions.columns import day_number, number
 from panelforge.plans.scans import blocked_scan
+from panelforge.plans.storage import write_table
 
 #: Calendar days per block.
 BLOCK_DAYS = 256
 #: Amounts are added as decimals, so adding and later subtracting leaves no residue.
-EXACT = "decimal(38,10)"
+EXACT = "decimal(27,10)"
 
 
 def daily_series(equity: DataFrame) -> DataFrame:
@@ -22,24 +23,16 @@ def daily_series(equity: DataFrame) -> DataFrame:
     Of several rows for a day the one with the latest ``loaded_at`` counts (null
     loads last; then the larger values). ``ret`` is 0 where absent; ``equity`` is
     carried from the last earlier day, null before the first. NaN counts as null.
-    Rows without strategy or day are left out.
+    Rows without strategy or day are left out. Each row brings the days since the
+    row before it, so nothing is joined to a calendar. Writes two tables (actions).
     """
     rows = equity.select("strategy", "trade_date", "loaded_at", number("ret").alias("ret"), number("equity").alias("equity")).where("strategy is not null and trade_date is not null")
-    kept = rows.groupBy("strategy", "trade_date").agg(F.max(F.struct("loaded_at", "ret", "equity")).alias("row")).select("strategy", day_number("trade_date").alias("day"), F.lit(True).alias("has_row"), "row.ret", "row.equity")
-    span = kept.groupBy("strategy").agg(F.min("day").alias("first"), F.max("day").alias("last"))
-    blocks = span.select("*", F.explode(F.sequence(F.floor(F.col("first") / BLOCK_DAYS), F.floor(F.col("last") / BLOCK_DAYS))).alias("block"))
-    grid = blocks.repartition("strategy", "block").select(
-        "strategy",
-        "block",
-        "first",
-        "last",
-        F.explode(F.sequence(F.greatest(F.col("first").cast("long"), F.col("block") * BLOCK_DAYS), F.least(F.col("last").cast("long"), F.col("block") * BLOCK_DAYS + BLOCK_DAYS - 1))).alias("day"),
-    )
-    grid = grid.withColumn("day", F.col("day").cast("int"))
-    kept = kept.withColumn("block", F.floor(F.col("day") / BLOCK_DAYS))
-    joined = grid.join(kept, ["strategy", "block", "day"], "left")
-    scanned = blocked_scan(joined, ["strategy"], "block", ["day"], lasts={"equity_filled": "equity"})
-    return scanned.select("strategy", "day", "first", "last", F.coalesce("has_row", F.lit(False)).alias("has_row"), F.coalesce("ret", F.lit(0.0)).alias("ret"), F.col("equity_filled").alias("equity"))
+    best = rows.groupBy("strategy", day_number("trade_date").alias("day")).agg(F.max(F.struct("loaded_at", "ret", "equity")).alias("row"))
+    kept = write_table(best.select("strategy", "day", F.floor(F.col("day") / BLOCK_DAYS).alias("block"), "row.ret", "row.equity"), "kept")
+    scanned = blocked_scan(kept, ["strategy"], "block", ["day"], befores={"day_before": "day", "equity_before": "equity"})
+    days = scanned.select("*", F.explode(F.sequence(F.coalesce(F.col("day_before") + 1, "day"), "day")).alias("at"))
+    own = F.col("at") == F.col("day")
+    return write_table(days.select("strategy", F.col("at").alias("day"), own.alias("has_row"), F.when(own, F.coalesce("ret", F.lit(0.0))).otherwise(0.0).alias("ret"), F.when(own, F.coalesce("equity", "equity_before")).otherwise(F.col("equity_before")).alias("equity")), "days")
 
 
 def trailing_totals(equity: DataFrame, windows: Sequence[int] = (7, 30)) -> DataFrame:
@@ -51,33 +44,33 @@ def trailing_totals(equity: DataFrame, windows: Sequence[int] = (7, 30)) -> Data
     window_days, ret, equity, ret_sum, ret_mean, equity_sum, equity_mean``. Means
     divide by the days there are (the first days of a strategy have short
     windows; equity before its first value counts neither way). Empty in, empty out.
+    Writes the tables of :func:`daily_series` (actions).
     """
     days = daily_series(equity)
-    wide = days.withColumn("window_days", F.explode(F.array(*[F.lit(int(w)) for w in windows])))
-    ret, eq, here = F.col("ret").cast(EXACT), F.col("equity").cast(EXACT), F.lit(1)
-    plus = F.struct(F.col("day").alias("at"), F.lit(True).alias("on_day"), ret.alias("ret_d"), F.coalesce(eq, F.lit(0).cast(EXACT)).alias("equity_d"), here.alias("n_d"), F.when(eq.isNotNull(), 1).otherwise(0).alias("m_d"))
-    minus = F.struct(
-        (F.col("day") + F.col("window_days")).alias("at"), F.lit(False).alias("on_day"), (-ret).cast(EXACT).alias("ret_d"), (-F.coalesce(eq, F.lit(0).cast(EXACT))).cast(EXACT).alias("equity_d"), (-here).alias("n_d"), F.when(eq.isNotNull(), -1).otherwise(0).alias("m_d")
-    )
-    deltas = (
-        wide.select("strategy", "window_days", "last", "ret", "equity", F.explode(F.array(plus, minus)).alias("e"))
-        .select("strategy", "window_days", "last", F.when(F.col("e.on_day"), F.col("ret")).alias("ret"), F.when(F.col("e.on_day"), F.col("equity")).alias("equity"), "e.*")
-        .where("at <= last")
-        .groupBy("strategy", "window_days", "at")
-        .agg(F.max("ret").alias("ret"), F.max("equity").alias("equity"), *[F.sum(c).cast(EXACT if c.startswith(("ret", "equity")) else "long").alias(c) for c in ("ret_d", "equity_d", "n_d", "m_d")])
-        .withColumn("block", F.floor(F.col("at") / BLOCK_DAYS))
-    )
-    total = blocked_scan(deltas, ["strategy", "window_days"], "block", ["at"], sums={"ret_sum": "ret_d", "equity_sum": "equity_d", "n": "n_d", "m": "m_d"})
-    return total.select(
+    windows = [int(w) for w in windows]
+    last = days.groupBy("strategy").agg(F.max("day").alias("last"))
+    leaves = F.explode(F.array(*[F.lit(w) for w in (0, *windows)]))
+    events = days.select("strategy", "day", leaves.alias("after"), "ret", "equity").withColumn("at", F.col("day") + F.col("after"))
+    events = events.join(last, "strategy").where("at <= last").select("strategy", F.floor(F.col("at") / BLOCK_DAYS).alias("block"), "at", "after", "ret", "equity").repartition("strategy", "block")
+    adds = F.col("after") == 0
+    signed = lambda w, c: F.when(adds, c).when(F.col("after") == w, -c)
+    amounts = {"ret": F.col("ret").cast(EXACT), "equity": F.col("equity").cast(EXACT), "n": F.lit(1), "m": F.col("equity").isNotNull().cast("int")}
+    names = {(k, w): f"{k}_{w}" for w in windows for k in amounts}
+    deltas = events.select("strategy", "block", "at", adds.alias("adds"), "ret", "equity", *[signed(w, amounts[k]).cast(EXACT if k in ("ret", "equity") else "long").alias(f"d_{name}") for (k, w), name in names.items()])
+    total = blocked_scan(deltas, ["strategy"], "block", ["at", "adds"], sums={name: f"d_{name}" for name in names.values()}).where("adds")
+    per = F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), *[F.col(names[k, w]).alias(f"{k}_sum") for k in amounts]) for w in windows]))
+    long = total.select("strategy", "at", "ret", "equity", per.alias("t"))
+    ret_sum, equity_sum = F.col("t.ret_sum").cast("double"), F.when(F.col("t.m_sum") > 0, F.col("t.equity_sum").cast("double"))
+    return long.select(
         "strategy",
         F.date_add(F.lit("1970-01-01").cast("date"), F.col("at")).alias("trade_date"),
-        "window_days",
+        "t.window_days",
         "ret",
         "equity",
-        F.col("ret_sum").cast("double").alias("ret_sum"),
-        (F.col("ret_sum").cast("double") / F.col("n")).alias("ret_mean"),
-        F.when(F.col("m") > 0, F.col("equity_sum").cast("double")).alias("equity_sum"),
-        F.when(F.col("m") > 0, F.col("equity_sum").cast("double") / F.col("m")).alias("equity_mean"),
+        ret_sum.alias("ret_sum"),
+        (ret_sum / F.col("t.n_sum")).alias("ret_mean"),
+        equity_sum.alias("equity_sum"),
+        (equity_sum / F.col("t.m_sum")).alias("equity_mean"),
     )
 
 

@@ -3,64 +3,91 @@
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import day_number, number
 from panelforge.operators.nodata import no_data_codes
+from panelforge.plans.storage import broadcast_if_small, write_table
 
 #: Days per block and days seen on either side of it. A block is one task's group: at most BLOCK_DAYS + 2 * HALO_DAYS rows.
-BLOCK_DAYS, HALO_DAYS = 768, 96
+BLOCK_DAYS, HALO_DAYS = 2048, 96
 #: Bars of the trend's running median, and bars on each side that give the level beside an excursion.
 TREND_BARS, SIDE_BARS = 15, 3
+#: No-data codes and flagged days (some 100 bytes each) up to which they are broadcast; beyond, the joins shuffle.
+BROADCAST_CODES, BROADCAST_FLAGS = 100_000, 200_000
 
-LIMITS = "ticker string, day int, px_low double, px_high double, volume_low double, volume_high double, px_stuck double, volume_stuck double"
+#: Rounds of trend and season.
+ROUNDS = 2
 
+FLAGS = "ticker string, day int, px_low double, px_high double, volume_low double, volume_high double, px_stuck double, volume_stuck double"
 
-def esd_limit(residual: np.ndarray, alpha: float = 0.01, most: float = 0.2) -> float:
-    """The absolute residual beyond which the generalised extreme studentised deviate test calls a value an outlier.
 
-    Deviations are studentised by median and MAD (so outliers cannot hide each
-    other); up to ``most`` of the values are tested one after another against
-    the test's critical values, and the limit is the critical deviation after the
-    last rejection. Infinite for fewer than 8 values.
-    """
-    x = residual[np.isfinite(residual)]
-    n = len(x)
-    if n < 8:
-        return math.inf
-    scale = np.median(np.abs(x - np.median(x))) / 0.6745
-    if scale <= 0:
-        scale = max(np.mean(np.abs(x)) * 1.2533, 1e-12)
-    k = max(1, int(most * n))
-    ranked = np.sort(np.abs(x - np.median(x)))[::-1][:k] / scale
+@lru_cache(maxsize=4096)
+def esd_critical(n: int, k: int, alpha: float) -> np.ndarray:
+    """The critical deviations of the generalised ESD test for the 1st to the ``k``-th outlier of ``n`` values, by an expansion of Student's t."""
     i = np.arange(1, k + 1)
-    p = 1 - alpha / (2 * (n - i + 1))
-    z = np.array([NormalDist().inv_cdf(v) for v in p])
+    z = np.array([NormalDist().inv_cdf(v) for v in 1 - alpha / (2 * (n - i + 1))])
     df = np.maximum(n - i - 1, 3)
     t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-    critical = (n - i) * t / np.sqrt((n - i - 1 + t**2) * (n - i + 1))
-    over = np.nonzero(ranked > critical)[0]
-    return float(scale * critical[min(over[-1] + 1, k - 1)]) if len(over) else float(scale * critical[0])
+    return (n - i) * t / np.sqrt((n - i - 1 + t**2) * (n - i + 1))
 
 
-def decompose(x: np.ndarray, weekday: np.ndarray) -> np.ndarray:
-    """Trend plus season of a series without gaps: running median, then the median of each weekday around it."""
+def esd_limits(residual: np.ndarray, alpha: float = 0.01, most: float = 0.2) -> tuple[float, float]:
+    """The residuals (low, high) beyond which the generalised extreme studentised deviate test calls a value an outlier.
+
+    Up to ``most`` of the values are removed one after another, always the one
+    farthest from the mean; mean and deviation are those of the values left, so
+    outliers cannot hide each other. The limits are those of the test after the
+    last deviation that is beyond its critical value. Infinite for fewer than 8 values.
+    """
+    x = np.sort(residual[np.isfinite(residual)])
     n = len(x)
-    half = min(TREND_BARS // 2, max(0, (n - 1) // 2))
+    if n < 8:
+        return -math.inf, math.inf
+    k = max(1, int(most * n))
+    critical = esd_critical(n, k + 1, alpha)
+    v, total, squares = x.tolist(), float(x.sum()), float((x * x).sum())
+    low, high, last = 0, n - 1, 0
+    means, deviations = [], []
+    for i in range(k + 1):
+        left = n - i
+        mean = total / left
+        deviation = math.sqrt(max((squares - total * mean) / (left - 1), 1e-24))
+        means.append(mean)
+        deviations.append(deviation)
+        out = v[high] if v[high] - mean >= mean - v[low] else v[low]
+        if abs(out - mean) > critical[i] * deviation and i < k:
+            last = i + 1
+        if out is v[high]:
+            high -= 1
+        else:
+            low += 1
+        total -= out
+        squares -= out * out
+    reach = critical[last] * deviations[last]
+    return means[last] - reach, means[last] + reach
+
+
+def _running_median(x: np.ndarray) -> np.ndarray:
+    half = min(TREND_BARS // 2, max(0, (len(x) - 1) // 2))
     if half == 0:
-        return np.full(n, np.median(x) if n else 0.0)
+        return np.full(len(x), np.median(x) if len(x) else 0.0)
     padded = np.pad(x, half, mode="reflect")
-    trend = np.median(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)
+    return np.partition(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), half, axis=1)[:, half]
+
+
+def decompose(x: np.ndarray, weekday: np.ndarray) -> np.ndarray:
+    """Trend plus season of a series without gaps: running median of what the season leaves, and the median of each weekday around it, in turns."""
     season = np.zeros(7)
-    for d in range(7):
-        at = weekday == d
-        if at.sum() >= 8:
-            season[d] = np.median((x - trend)[at])
+    for _ in range(ROUNDS):
+        trend = _running_median(x - season[weekday])
+        season = np.array([np.median((x - trend)[weekday == d]) if (weekday == d).sum() >= 8 else 0.0 for d in range(7)])
     return trend + season[weekday]
 
 
@@ -132,80 +159,71 @@ def _limits_of(day: np.ndarray, value: np.ndarray, threshold: float | None, move
     usual = np.median(np.abs(np.diff(x))) / 0.6745
     limit = threshold if threshold is not None else moves * max(usual, 1e-9)
     fit = decompose(x, ((day[at] + 3) % 7).astype(int))
-    beyond = esd_limit(x - fit)
+    proposed_low, proposed_high = esd_limits(x - fit)
     side_low, side_high = excursion_limits(x, limit)
     with np.errstate(over="ignore"):
-        low[at], high[at] = np.exp(np.minimum(side_low, fit - beyond)), np.exp(np.maximum(side_high, fit + beyond))
+        low[at], high[at] = np.exp(np.minimum(side_low, fit + proposed_low)), np.exp(np.maximum(side_high, fit + proposed_high))
     return low, high
 
 
-def block_limits(pdf: pd.DataFrame, moves: float, fold: float, shortest_run: int, block_days: int) -> pd.DataFrame:
-    """Limits and stuck values for the days of one ticker's block (its halo is seen, not reported)."""
-    pdf = pdf.sort_values("day", kind="stable")
-    day, px, volume = pdf["day"].to_numpy(), pdf["px"].to_numpy(float), pdf["volume"].to_numpy(float)
+def block_flags(block: pa.Table, moves: float, fold: float, shortest_run: int, block_days: int) -> pa.Table:
+    """Limits and stuck values for those days of one ticker's block on which some delivered value is beyond them (the halo is seen, not reported)."""
+    block = block.sort_by("day")
+    day = block["day"].to_numpy()
+    px, volume, px_min, px_max, volume_min, volume_max = (block[c].to_numpy().astype(float) for c in ("px", "volume", "px_min", "px_max", "volume_min", "volume_max"))
     px_low, px_high = _limits_of(day, px, None, moves)
-    vol_low, vol_high = _limits_of(day, volume, math.log(fold), moves)
-    out = pd.DataFrame(
-        {
-            "ticker": pdf["ticker"].to_numpy(),
-            "day": day.astype("int32"),
-            "px_low": px_low,
-            "px_high": px_high,
-            "volume_low": vol_low,
-            "volume_high": vol_high,
-            "px_stuck": stuck_values(px, volume, shortest_run),
-            "volume_stuck": stuck_values(volume, px, shortest_run),
-        }
-    )
-    return out[(day // block_days) == pdf["block"].to_numpy()]
+    volume_low, volume_high = _limits_of(day, volume, math.log(fold), moves)
+    px_stuck, volume_stuck = stuck_values(px, volume, shortest_run), stuck_values(volume, px, shortest_run)
+    some = (px_max > px_high) | (px_min < px_low) | (volume_max > volume_high) | (volume_min < volume_low) | np.isfinite(px_stuck) | np.isfinite(volume_stuck)
+    some &= (day // block_days) == block["block"].to_numpy()
+    columns = {"ticker": block["ticker"].filter(pa.array(some)), "day": day[some].astype(np.int32), "px_low": px_low[some], "px_high": px_high[some], "volume_low": volume_low[some], "volume_high": volume_high[some]}
+    return pa.table(columns | {"px_stuck": pa.array(px_stuck[some], from_pandas=True), "volume_stuck": pa.array(volume_stuck[some], from_pandas=True)})
 
 
 def flag_readings(panel: DataFrame, moves: float = 8.0, fold: float = 25.0, shortest_run: int = 6) -> DataFrame:
-    """Every distinct delivered value of ``px`` and ``volume`` with the reason why it cannot be a true reading, or null.
-
-    Per ticker and block of days: a seasonal-trend decomposition by running and
-    weekday medians, a generalised ESD limit on its residuals, and the level on
-    both sides of each excursion of up to three bars; a value is a ``spike`` if it
-    lies beyond the ESD limit and beyond both levels by more than ``moves`` usual
-    day-to-day moves (``px``) or ``fold``-fold (``volume``). Constant runs
-    (``stuck``: every value but the first of ``shortest_run`` or more equal ones
+    """Every distinct delivered value of ``px`` and ``volume`` that cannot be a true reading: ``ticker, trade_date, field, value, reason``.
+
+    Per ticker and block of days a seasonal-trend decomposition by running and
+    weekday medians leaves residuals; values beyond the generalised ESD limits of
+    these are proposed as spikes. A proposed value is a ``spike`` if it also lies
+    beyond the level on both sides of an excursion of up to three bars by more than
+    ``moves`` usual day-to-day moves (``px``) or ``fold``-fold (``volume``). Constant
+    runs (``stuck``: every value but the first of ``shortest_run`` or more equal ones
     while the other field moves) and ranges (``impossible``: price of zero or
     below, volume below zero) are checked separately.
 
     The series that gives levels and runs holds one value a day, the first one
     delivered that is usable. Days are reduced before any series is formed and a
     series is cut into blocks with halos, so no task holds more than
-    ``BLOCK_DAYS + 2 * HALO_DAYS`` rows however many a ticker has. Nulls, NaN and
-    no-data codes are neither readings nor flagged; bars without a value do not
-    break a run. Rows without ticker or day are left out; null ``fetched_at``
-    counts as delivered last; series of fewer than eight values have no spikes.
+    ``BLOCK_DAYS + 2 * HALO_DAYS`` rows however many a ticker has; only days with a
+    value to flag leave it. Nulls, NaN and no-data codes are neither readings nor
+    flagged; bars without a value do not break a run. Rows without ticker or day
+    are left out; null ``fetched_at`` counts as delivered last; series of fewer
+    than eight values have no spikes. Writes small tables (actions).
     """
-    codes = no_data_codes(panel).select(F.col("code").alias("px"), F.lit(True).alias("is_code"))
+    codes = broadcast_if_small(no_data_codes(panel).select(F.col("code").alias("px"), F.lit(True).alias("is_code")), BROADCAST_CODES)
     rows = panel.select("ticker", "trade_date", "fetched_at", number("px").alias("px"), number("volume").alias("volume")).where("ticker is not null and trade_date is not null")
     rows = rows.join(codes, "px", "left").select("ticker", day_number("trade_date").alias("day"), "fetched_at", F.when(F.col("is_code").isNull(), F.col("px")).alias("px"), "volume")
 
     def first(c: str, usable):
         return F.min(F.when(usable, F.struct(F.col("fetched_at").isNull().alias("late"), F.col("fetched_at").alias("at"), F.col(c).alias("v"))))["v"].alias(c)
 
-    series = rows.groupBy("ticker", "day").agg(first("px", F.col("px") > 0), first("volume", F.col("volume") >= 0))
+    ends = [f(F.when(F.col(c) > 0, F.col(c))).alias(f"{c}_{n}") for c in ("px", "volume") for n, f in (("min", F.min), ("max", F.max))]
+    series = rows.groupBy("ticker", "day").agg(first("px", F.col("px") > 0), first("volume", F.col("volume") >= 0), *ends)
     placed = series.select("*", F.explode(F.array_distinct(F.array(*[F.floor((F.col("day") + h) / BLOCK_DAYS).cast("int") for h in (-HALO_DAYS, 0, HALO_DAYS)]))).alias("block"))
     days = BLOCK_DAYS
-    limits = placed.groupBy("ticker", "block").applyInPandas(lambda pdf: block_limits(pdf, moves, fold, shortest_run, days), LIMITS)
-    values = (
-        rows.select("ticker", "day", F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("px", "volume")])).alias("x"))
-        .select("ticker", "day", "x.field", "x.value")
-        .where("value is not null")
-        .distinct()
-    )
+    flags = write_table(placed.groupBy("ticker", "block").applyInArrow(lambda block: block_flags(block, moves, fold, shortest_run, days), FLAGS), "flags")
+
+    def long(df: DataFrame, *others: str) -> DataFrame:
+        return df.select("ticker", "day", *others, F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in ("px", "volume")])).alias("x")).select("ticker", "day", *others, "x.field", "x.value")
 
     def of(what: str):
         return F.when(F.col("field") == "px", F.col(f"px_{what}")).otherwise(F.col(f"volume_{what}"))
 
     value = F.col("value")
-    reason = (
-        F.when(((F.col("field") == "px") & (value <= 0)) | (value < 0), "impossible")
-        .when((value > 0) & ((value > of("high")) | (value < of("low"))), "spike")
-        .when(value == of("stuck"), "stuck")
-    )
-    judged = values.join(limits, ["ticker", "day"], "left")
-    return judged.select("ticker", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("trade_date"), "field", "value", reason.alias("reason"))
+    impossible = ((F.col("field") == "px") & (value <= 0)) | (value < 0)
+    out_of_range = long(rows.where("px <= 0 or volume < 0")).where(impossible).withColumn("reason", F.lit("impossible"))
+    met = long(rows.join(broadcast_if_small(flags, BROADCAST_FLAGS), ["ticker", "day"]), *[c for c in flags.columns if c not in ("ticker", "day")]).where(~impossible)
+    beyond = (value > 0) & ((value > of("high")) | (value < of("low")))
+    judged = met.select("ticker", "day", "field", "value", F.when(beyond, "spike").when(value == of("stuck"), "stuck").alias("reason")).where("reason is not null")
+    return out_of_range.unionByName(judged).distinct().select("ticker", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("trade_date"), "field", "value", "reason")

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,48 +22,53 @@ def blocked_scan(
     *,
     sums: Mapping[str, str] | None = None,
     lasts: Mapping[str, str] | None = None,
+    befores: Mapping[str, str] | None = None,
+    nexts: Mapping[str, str] | None = None,
     maxes: Mapping[str, str] | None = None,
-    descending: bool = False,
 ) -> DataFrame:
-    """Add inclusive running columns per ``keys`` in the order of ``order``.
+    """Add running columns per ``keys`` in the order of ``order``.
 
     ``block`` must be a non-null column that is monotone in ``order``. Each
     mapping goes from the new column to its source: ``sums`` adds non-null
     values, ``lasts`` keeps the latest non-null value, ``maxes`` the largest
-    non-null one (a struct compares field by field). ``descending`` scans from
-    the end, which turns ``lasts`` into "next". Keys must be non-null. Rows with
-    equal ``order`` are scanned in unspecified order: make ``order`` unique
-    where that matters. An empty input gives an empty output.
+    non-null one (a struct compares field by field), all with the row itself;
+    ``befores`` is ``lasts`` without the row itself, ``nexts`` the nearest non-null
+    value at or after the row. ``df`` is evaluated twice, once for one row a block:
+    give it a written table, or one that costs as little. Keys must be non-null.
+    Rows with equal ``order`` are scanned in unspecified order: make ``order``
+    unique where that matters. An empty input gives an empty output.
     """
-    sums, lasts, maxes = dict(sums or {}), dict(lasts or {}), dict(maxes or {})
-    at = [F.col(c) for c in order]
-    way = (lambda c: c.desc()) if descending else (lambda c: c.asc())
-    newest = F.min_by if descending else F.max_by
-
-    def stamped(c: str) -> Column:
-        return newest(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*at)))
-
+    sums, lasts, befores, nexts, maxes = (dict(m or {}) for m in (sums, lasts, befores, nexts, maxes))
+    at = F.struct(*order)
+    here = lambda c: F.when(F.col(c).isNotNull(), at)
+    last_of = {c: f"_l{k}" for k, c in enumerate(dict.fromkeys([*lasts.values(), *befores.values()]))}
     per_block = df.groupBy(*keys, block).agg(
         *[F.sum(c).alias(f"_s_{n}") for n, c in sums.items()],
-        *[stamped(c).alias(f"_l_{n}") for n, c in lasts.items()],
+        *[F.max_by(c, here(c)).alias(n) for c, n in last_of.items()],
+        *[F.min_by(c, here(c)).alias(f"_n_{n}") for n, c in nexts.items()],
         *[F.max(c).alias(f"_m_{n}") for n, c in maxes.items()],
     )
-    before = Window.partitionBy(*keys).orderBy(way(F.col(block))).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = Window.partitionBy(*keys).orderBy(block)
+    before, after = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
     carried = per_block.select(
         *keys,
         block,
         *[F.sum(f"_s_{n}").over(before).alias(f"_s_{n}") for n in sums],
-        *[F.last(f"_l_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in lasts],
+        *[F.last(n, ignorenulls=True).over(before).alias(n) for n in last_of.values()],
+        *[F.first(f"_n_{n}", ignorenulls=True).over(after).alias(f"_n_{n}") for n in nexts],
         *[F.max(f"_m_{n}").over(before).alias(f"_m_{n}") for n in maxes],
     )
-    inside = Window.partitionBy(*keys, block).orderBy(*map(way, at)).rowsBetween(Window.unboundedPreceding, 0)
-    here = df.join(carried, [*keys, block], "left")
+    rows = Window.partitionBy(*keys, block).orderBy(*order)
+    inside, earlier, later = (rows.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
     columns = [F.col(c) for c in df.columns]
+    kinds = dict(df.dtypes)
     for n, c in sums.items():
         a, b = F.col(f"_s_{n}"), F.sum(c).over(inside)
+        if kinds[c].startswith("decimal"):  # the sum of two of 38 digits would lose one behind the point
+            a, b = (x.cast(f"decimal(37,{kinds[c].rstrip(')').split(',')[1]})") for x in (a, b))
         columns.append(F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b).alias(n))
-    for n, c in lasts.items():
-        columns.append(F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_l_{n}")).alias(n))
-    for n, c in maxes.items():
-        columns.append(F.greatest(F.max(c).over(inside), F.col(f"_m_{n}")).alias(n))
-    return here.select(*columns)
+    columns += [F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(last_of[c])).alias(n) for n, c in lasts.items()]
+    columns += [F.coalesce(F.last(c, ignorenulls=True).over(earlier), F.col(last_of[c])).alias(n) for n, c in befores.items()]
+    columns += [F.coalesce(F.first(c, ignorenulls=True).over(later), F.col(f"_n_{n}")).alias(n) for n, c in nexts.items()]
+    columns += [F.greatest(F.max(c).over(inside), F.col(f"_m_{n}")).alias(n) for n, c in maxes.items()]
+    return df.join(carried, [*keys, block], "left").select(*columns)

@@ -8,6 +8,7 @@ of this machine chosen.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,8 +16,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Paths of the tables written by this process.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: ``spark.checkpoint.dir``, else a folder set once per session."""
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, else (on one machine only) a folder set once per session."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -24,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get().rstrip("/")
+    if not re.match(r"local(\[|$)", sc.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     path = "file://" + tempfile.mkdtemp(prefix="panelforge-")
     sc.setCheckpointDir(path)
     return path
@@ -33,7 +40,8 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once (an action) to the shared folder and return a reader of the written rows.
 
     Cuts the lineage: what follows reads files that outlive any executor. The
-    files are removed when the session's file system is closed.
+    files are removed by :func:`drop_tables`, at the latest when the session's
+    file system is closed.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -41,9 +49,19 @@ def write_table(df: DataFrame, label: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hpath)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Remove all tables written so far; how many. For sessions of many queries, once their results have been used."""
+    n = len(_written)
+    while _written:
+        hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+    return n
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """``df`` hashed by ``keys`` over a fixed number of partitions, for groups that cost much time and hold few rows.
 

@@ -15,7 +15,7 @@ from panelforge.sources.tables import table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    flagged = flag_readings(table(spark, d, "panel")).where("reason is not null")
+    flagged = flag_readings(table(spark, d, "panel"))
     return flagged.select("ticker", iso("trade_date").alias("trade_date"), "field").distinct()
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from panelforge.operators import spikes
 from panelforge.operators.nodata import no_data_codes
-from panelforge.operators.spikes import esd_limit, excursion_limits, flag_readings, stuck_values
+from panelforge.operators.spikes import decompose, esd_limits, excursion_limits, flag_readings, stuck_values
 
 PANEL = "trade_date date, ticker string, px double, volume double, fetched_at timestamp, day int, block int, reason string"
 START = dt.date(2020, 1, 1)
@@ -26,7 +26,7 @@ def rows_of(ticker, px, volume, start=START):
 
 
 def found(spark, rows):
-    got = flag_readings(spark.createDataFrame(rows, PANEL)).where("reason is not null").collect()
+    got = flag_readings(spark.createDataFrame(rows, PANEL)).collect()
     return {(r.ticker, (r.trade_date - START).days, r.field, r.reason) for r in got}
 
 
@@ -86,10 +86,44 @@ def test_empty_and_short(spark):
     assert flag_readings(spark.createDataFrame([], PANEL)).count() == 0
 
 
-def test_esd_limit_separates_outliers():
-    x = np.concatenate([np.random.default_rng(0).normal(0, 1, 300), [30, -25, 28]])
-    assert 3 < esd_limit(x) < 25
-    assert esd_limit(np.zeros(3)) == math.inf
+def plain_esd(x, alpha=0.01, most=0.2):
+    """The test as published: mean and deviation anew after each removal; which positions are outliers."""
+    left, removed, last = list(range(len(x))), [], 0
+    k = max(1, int(most * len(x)))
+    critical = spikes.esd_critical(len(x), k, alpha)
+    for i in range(k):
+        v = x[left]
+        far = int(np.argmax(np.abs(v - v.mean())))
+        if np.abs(v[far] - v.mean()) / v.std(ddof=1) > critical[i]:
+            last = i + 1
+        removed.append(left.pop(far))
+    return set(removed[:last])
+
+
+def test_esd_equals_the_plain_test():
+    rng = np.random.default_rng(0)
+    for spikes_at in ((), (30, -25, 28), (9, 9.5, 10, 10.5, -11, 40, 400)):
+        x = np.concatenate([rng.normal(0, 1, 300), spikes_at])
+        low, high = esd_limits(x)
+        assert set(np.nonzero((x < low) | (x > high))[0]) == plain_esd(x)
+    assert esd_limits(np.zeros(3)) == (-math.inf, math.inf)
+    assert abs(spikes.esd_critical(54, 1, 0.05)[0] - 3.158) < 0.01  # published for 54 values
+
+
+def test_a_season_is_no_spike_and_the_limit_decides(spark, monkeypatch):
+    """Thirty-fold volume every Monday is beyond both sides, but no outlier of the decomposition; without the ESD limits it would be flagged."""
+    px, volume = (list(map(float, x)) for x in series())
+    monday = [(START + dt.timedelta(days=i)).weekday() == 0 for i in range(len(px))]
+    volume = [v * 60.0 if m else v for v, m in zip(volume, monday, strict=True)]
+    volume[101] *= 1000
+    assert not monday[101]
+    assert found(spark, rows_of("A", px, volume)) == {("A", 101, "volume", "spike")}
+    monkeypatch.setattr(spikes, "esd_limits", lambda residual: (math.inf, -math.inf))
+    x = np.log(volume)
+    day = np.arange(len(x))
+    low, high = spikes._limits_of(day, np.array(volume), math.log(25), 8.0)
+    assert ((np.exp(x) > high) & monday).sum() > 20
+    assert np.abs((x - decompose(x, np.array([(START + dt.timedelta(days=i)).weekday() for i in range(len(x))])))[monday]).max() < 2
 
 
 def test_excursions_of_four_bars_are_a_level():
