@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.weights import cap_turnover, vol_leverage
-from panelforge.operators.costs import rate
+from panelforge.operators.costs import impact_of, rate
 from panelforge.operators.panel import calendar
 from panelforge.plans.storage import spread, write_table
 
@@ -35,12 +35,28 @@ def _segments(panel: DataFrame, schedule: DataFrame) -> DataFrame:
     return days.join(at, ["ticker", "reb_id"])
 
 
+def completed(targets: DataFrame) -> DataFrame:
+    """Targets with a weight of zero for every ticker that a strategy holds at some rebalance and not at this one.
+
+    Without these rows a ticker that leaves the set would be sold unseen. One row
+    per strategy, rebalance and ticker of the strategy comes out (of repeats the
+    sum); null weights are zero.
+    """
+    at = targets.select("strategy", "reb_id").distinct()
+    held = targets.where("w <> 0").select("strategy", "ticker").distinct()
+    given = targets.groupBy("strategy", "reb_id", "ticker").agg(F.sum(F.coalesce("w", F.lit(0.0))).alias("w"))
+    return at.join(held, "strategy").join(given, ["strategy", "reb_id", "ticker"], "left").select("strategy", "reb_id", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"))
+
+
 def anchored(panel: DataFrame, schedule: DataFrame, targets: DataFrame, cost_rate: float | None = None, capital: float = CAPITAL) -> DataFrame:
-    """``strategy, reb_id, date, equity_k, cost, turnover`` at each rebalance, for targets that do not depend on the state."""
+    """``strategy, reb_id, date, equity_k, cost, turnover`` at each rebalance, for targets that do not depend on the state.
+
+    Tickers that a target set leaves out are sold (:func:`completed`).
+    """
     fee = rate() if cost_rate is None else cost_rate
     prices = panel.select("date", "ticker", "px").join(schedule.where("is_reb").select("date", "reb_id"), "date")
     w = Window.partitionBy("strategy", "ticker").orderBy("reb_id")
-    line = targets.join(prices, ["reb_id", "ticker"]).select("strategy", "reb_id", "date", "ticker", "w", F.lag("w", 1, 0.0).over(w).alias("w0"), (F.col("px") / F.lag("px").over(w)).alias("move"))
+    line = completed(targets).join(prices, ["reb_id", "ticker"]).select("strategy", "reb_id", "date", "ticker", "w", F.lag("w", 1, 0.0).over(w).alias("w0"), (F.col("px") / F.lag("px").over(w)).alias("move"))
     grown = line.withColumn("held", F.col("w0") * F.coalesce("move", F.lit(1.0)))
     g = grown.groupBy("strategy", "reb_id").agg((1 + F.sum(F.col("held") - F.col("w0"))).alias("g"))
     per = grown.join(g, ["strategy", "reb_id"]).groupBy("strategy", "reb_id").agg(F.max("date").alias("date"), F.max("g").alias("g"), F.sum(F.abs(F.col("w") - F.col("held") / F.col("g"))).alias("traded"))
@@ -93,38 +109,44 @@ def fold(raw: DataFrame, max_turnover: float | None = 0.30, vol_target: float =
     ``raw(strategy, reb_id, date, ticker, w, warm, lever, cov, px, adv, sigma)``:
     raw targets with the price at the rebalance; ``warm`` targets are not capped,
     ``lever`` rows are scaled to ``vol_target`` by the annualised covariance row
-    ``cov`` (null: leverage 1). One group per strategy, one row per rebalance and
-    ticker.
+    ``cov`` (null: leverage 1). A ticker without a row at a rebalance has a target
+    of zero; what was held of it is sold at the price of its latest row. Impact
+    without a price or volume is zero. One group per strategy, one row per
+    rebalance and ticker of it.
     """
     fee = rate() if cost_rate is None else cost_rate
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        equity, weights, last_px, rows = capital, None, None, []
-        for reb_id, g in pdf.sort_values(["reb_id", "ticker"]).groupby("reb_id", sort=True):
-            px, target = g["px"].to_numpy(float), g["w"].to_numpy(float)
-            if weights is None:
-                current = np.zeros(len(target))
-            else:
-                values = weights * px / last_px
-                growth = 1 - weights.sum() + values.sum()
-                equity *= growth
-                current = values / growth
+        pdf = pdf.sort_values(["reb_id", "ticker"])
+        names = np.unique(pdf["ticker"].to_numpy(str))
+        equity, weights, last_px, rows = capital, np.zeros(len(names)), np.full(len(names), np.nan), []
+        for reb_id, g in pdf.groupby("reb_id", sort=True):
+            at = np.searchsorted(names, g["ticker"].to_numpy(str))
+            px = last_px.copy()
+            px[at] = g["px"].to_numpy(float)
+            values = np.where(weights != 0, weights * px / np.where(weights != 0, last_px, 1.0), 0.0)
+            growth = 1 - weights.sum() + values.sum()
+            equity *= growth
+            current = values / growth
+            target = np.zeros(len(names))
+            target[at] = g["w"].to_numpy(float)
             if not g["warm"].iloc[0]:
                 target = cap_turnover(target, current, max_turnover)
             leverage = 1.0
             if g["lever"].iloc[0] and g["cov"].iloc[0] is not None:
-                leverage = vol_leverage(target, np.array([list(r) for r in g["cov"]]), vol_target, max_leverage)
+                cov = np.zeros((len(names), len(names)))
+                cov[np.ix_(at, at)] = np.array([list(r) for r in g["cov"]])
+                leverage = vol_leverage(target, cov, vol_target, max_leverage)
                 target = cap_turnover(target * leverage, current, max_turnover)
             trade = target - current
             if impact:
-                d = np.abs(trade) * equity
-                part = d / px / g["adv"].to_numpy(float)
-                sigma = g["sigma"].to_numpy(float)
-                cost = float(np.where(d < 1e-10, 0.0, d * 5e-4 + 0.1 * sigma * np.sqrt(part) * d + 0.1 * part * d + 0.5 * sigma * d).sum())
+                adv, sigma = np.zeros(len(names)), np.zeros(len(names))
+                adv[at], sigma[at] = g["adv"].to_numpy(float), g["sigma"].to_numpy(float)
+                cost = float(impact_of(np.abs(trade) * equity, px, adv, sigma).sum())
             else:
                 cost = fee * float(np.abs(trade).sum()) * equity
             equity -= cost
-            rows += [(g["strategy"].iloc[0], reb_id, t, g["date"].iloc[0], w, equity, cost, np.abs(trade).sum() / 2, leverage) for t, w in zip(g["ticker"], target, strict=True)]
+            rows += [(g["strategy"].iloc[0], reb_id, t, g["date"].iloc[0], w, equity, cost, np.abs(trade).sum() / 2, leverage) for t, w in zip(names, target, strict=True)]
             weights, last_px = target, px
         return pd.DataFrame(rows, columns=[c.split()[0] for c in FOLDED.split(", ")])
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.operators.panel import asof, by_ticker
@@ -38,6 +39,14 @@ def market_state(panel: DataFrame, window: int = 20) -> DataFrame:
     return moved.withColumn("adv", F.avg("volume").over(f)).withColumn("sigma", F.stddev_samp("_r").over(f)).drop("_r")
 
 
+def impact_of(dollars: np.ndarray, px: np.ndarray, adv: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+    """The total of :func:`impact` for arrays of absolute dollars."""
+    known = (px > 0) & (adv > 0)
+    part = np.where(known, dollars / np.where(known, px * adv, 1.0), 0.0)
+    total = dollars * (HALF_SPREAD_BPS / 1e4 + ETA * sigma * np.sqrt(part) + GAMMA * part + SLIPPAGE * sigma)
+    return np.where(dollars < 1e-10, 0.0, total)
+
+
 def impact(trades: DataFrame, state: DataFrame, half_spread_bps: float = HALF_SPREAD_BPS, eta: float = ETA, gamma: float = GAMMA, slippage: float = SLIPPAGE) -> DataFrame:
     """Cost of ``trades(ticker, date, dollars, ...)`` as spread, temporary and permanent impact and slippage, by the state known at ``date``."""
     known = asof(trades, state, "ticker", "date", ["px", "adv", "sigma"], {"px": NO_PRICE, "adv": NO_ADV, "sigma": NO_SIGMA})
@@ -55,5 +64,5 @@ def impact_total(trades: DataFrame, state: DataFrame, *keys: str) -> DataFrame:
 
 def last_rebalance(costs: DataFrame) -> DataFrame:
     """Of per-asset costs, those of the last date with a trade of some size."""
-    active = costs.where(F.abs("dollars") > 1e-6).withColumn("_last", F.max("date").over(Window.partitionBy(F.lit(0))))
-    return active.where("date = _last").drop("_last")
+    active = costs.where(F.abs("dollars") > 1e-6)
+    return active.join(F.broadcast(active.agg(F.max("date").alias("date"))), "date").select(costs.columns)

@@ -39,11 +39,10 @@ def ledoit_wolf(returns: DataFrame) -> DataFrame:
     """Linear shrinkage towards the scaled identity, from sums over pairs of tickers."""
     centred = returns.withColumn("r", F.col("r") - F.avg("r").over(Window.partitionBy("ticker")))
     s = pairs(centred).groupBy("i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("s"), F.avg(F.col("x") * F.col("x") * F.col("y") * F.col("y")).alias("q"), F.count("*").alias("n"))
-    both = F.when(F.col("i") == F.col("j"), 1).otherwise(2)
-    everything = Window.partitionBy(F.lit(0))
-    t = s.select(
-        "i", "j", "s", "n", F.sum(F.when(F.col("i") == F.col("j"), F.col("s"))).over(everything).alias("tr"), F.sum(F.when(F.col("i") == F.col("j"), 1)).over(everything).alias("p"), F.sum(both * F.col("s") * F.col("s")).over(everything).alias("ss"), F.sum(both * F.col("q")).over(everything).alias("qq")
-    )
+    same = F.col("i") == F.col("j")
+    both = F.when(same, 1).otherwise(2)
+    totals = s.agg(F.sum(F.when(same, F.col("s"))).alias("tr"), F.sum(F.when(same, 1)).alias("p"), F.sum(both * F.col("s") * F.col("s")).alias("ss"), F.sum(both * F.col("q")).alias("qq"))
+    t = s.withColumn("_k", F.lit(0)).join(F.broadcast(totals.withColumn("_k", F.lit(0))), "_k")
     mu = F.col("tr") / F.col("p")
     delta = (F.col("ss") - 2 * mu * F.col("tr") + F.col("p") * mu * mu) / F.col("p")
     beta = F.least((F.col("qq") - F.col("ss")) / (F.col("p") * F.col("n")), delta)

@@ -59,19 +59,20 @@ def outcomes(walked: DataFrame, capital: float) -> DataFrame:
 def summary(ends: DataFrame, capital: Column | float, keys: Sequence[str] = ()) -> DataFrame:
     """Median, mean and 5th percentile of terminal wealth, chances of profit and of losing a quarter, drawdown percentiles."""
     capital = F.lit(capital) if isinstance(capital, (int, float)) else capital
-    return ends.groupBy(*keys).agg(
-        F.percentile("terminal", F.lit(0.5)).alias("median_terminal"),
+    low = F.array(F.lit(0.5), F.lit(0.05))
+    a = ends.groupBy(*keys).agg(
+        F.percentile("terminal", low).alias("t"),
+        F.percentile("max_dd", low).alias("d"),
         F.avg("terminal").alias("mean_terminal"),
-        F.percentile("terminal", F.lit(0.05)).alias("terminal_p05"),
         F.avg((F.col("terminal") > capital).cast("double")).alias("prob_profit"),
         F.avg((F.col("terminal") < 0.75 * capital).cast("double")).alias("prob_loss_25"),
-        F.percentile("max_dd", F.lit(0.5)).alias("median_max_dd"),
-        F.percentile("max_dd", F.lit(0.05)).alias("max_dd_p05"),
     )
+    return a.select(*keys, F.col("t")[0].alias("median_terminal"), "mean_terminal", F.col("t")[1].alias("terminal_p05"), "prob_profit", "prob_loss_25", F.col("d")[0].alias("median_max_dd"), F.col("d")[1].alias("max_dd_p05"))
 
 
 def bands(walked: DataFrame, fractions: Sequence[float] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    return walked.groupBy("day").agg(*[F.percentile("equity", F.lit(float(q))).alias(f"p{int(round(q * 100)):02d}") for q in fractions])
+    q = walked.groupBy("day").agg(F.percentile("equity", F.array(*[F.lit(float(q)) for q in fractions])).alias("q"))
+    return q.select("day", *[F.col("q")[k].alias(f"p{int(round(f * 100)):02d}") for k, f in enumerate(fractions)])
 
 
 def underwater(walked: DataFrame, capital: float, threshold: float = 0.0) -> DataFrame:

@@ -65,6 +65,25 @@ def hmm_regimes(series: DataFrame, window: int = 20) -> DataFrame:
     return spread(series.select("strategy", "date", "ret"), "strategy").groupBy("strategy").applyInPandas(fit, HMM_ROWS)
 
 
+HMM_STATES = "strategy string, state int, regime string, mean_ret double, mean_vol double, to_state int, probability double"
+
+
+def hmm_parameters(series: DataFrame, window: int = 20) -> DataFrame:
+    """The fitted transition matrix, one row per pair of states, with each state's mean return and volatility (standardised, as fitted)."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("date")
+        try:
+            _, _, labels, facts = hmm(pdf["ret"].to_numpy(float), window)
+        except ValueError:
+            return empty(HMM_STATES)
+        n, means = len(labels), facts["means"]
+        rows = [(pdf["strategy"].iloc[0], a, labels[a], float(means[a, 0]), float(means[a, 1]), b, float(facts["transition"][a, b])) for a in range(n) for b in range(n)]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in HMM_STATES.split(", ")])
+
+    return spread(series.select("strategy", "date", "ret"), "strategy").groupBy("strategy").applyInPandas(fit, HMM_STATES)
+
+
 def transitions(labelled: DataFrame) -> DataFrame:
     """Observed transition shares between successive regimes."""
     pairs = labelled.where("regime is not null").select("strategy", F.col("regime").alias("from_regime"), F.lead("regime").over(over("strategy")).alias("to_regime")).where("to_regime is not null")

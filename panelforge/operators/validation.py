@@ -164,6 +164,13 @@ def stability_windows(first, last, years: int = 3, step_months: int = 3) -> list
     return out
 
 
+def window_grid(panel: DataFrame, years: int = 3, step_months: int = 3) -> DataFrame:
+    """``window_start, window_end`` of :func:`stability_windows` over the dates of a panel (one row on the driver)."""
+    span = panel.agg(F.min("date").alias("a"), F.max("date").alias("b")).first()
+    windows = stability_windows(span["a"], span["b"], years, step_months) if span["a"] else []
+    return panel.sparkSession.createDataFrame(windows, "window_start date, window_end date")
+
+
 STABILITY = "window_start date, combo int, parameters map<string,double>, sharpe double"
 Signal = Callable[[np.ndarray, np.ndarray], np.ndarray]
 

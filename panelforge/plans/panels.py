@@ -32,7 +32,12 @@ def daily(spark: SparkSession, d: str) -> DataFrame:
 
 
 def strategies(spark: SparkSession, d: str) -> DataFrame:
-    """The stored equity table, one row per strategy and day: the one loaded last, days without return left out."""
+    """The stored equity table, one row per strategy and day: the one loaded last. ``ret`` or ``equity`` may be null; each operator leaves out what it cannot use."""
     rows = table(spark, d, "equity").select("strategy", F.col("trade_date").alias("date"), "loaded_at", number("ret").alias("ret"), number("equity").alias("equity"), "turnover", "cost")
     kept = rows.where("strategy is not null and date is not null").groupBy("strategy", "date").agg(F.max(F.struct("loaded_at", "ret", "equity", "turnover", "cost")).alias("row"))
-    return kept.select("strategy", "date", "row.ret", "row.equity", "row.turnover", "row.cost").where("ret is not null")
+    return kept.select("strategy", "date", "row.ret", "row.equity", "row.turnover", "row.cost")
+
+
+def returning(spark: SparkSession, d: str) -> DataFrame:
+    """The days of :func:`strategies` that have a return."""
+    return strategies(spark, d).where("ret is not null")

@@ -18,7 +18,7 @@ from panelforge.operators import montecarlo as mc
 from panelforge.operators import panel as pn
 from panelforge.operators import regimes as rg
 from panelforge.operators import validation as va
-from panelforge.plans.panels import daily, raw_panel, strategies, weekly
+from panelforge.plans.panels import daily, raw_panel, returning, strategies, weekly
 from panelforge.plans.storage import write_table
 from panelforge.sources.tables import table
 
@@ -56,6 +56,7 @@ WEEK = _panel_sql("cast(date_trunc('week', l_shipdate) as date)")
 DAY = _panel_sql("cast(l_shipdate as date)")
 EQ = """with eq as (select strategy, trade_date as date, ret, equity, turnover, cost from
   (select *, row_number() over (partition by strategy, trade_date order by loaded_at desc) as rn from equity where strategy is not null and trade_date is not null) where rn = 1 and ret is not null)"""
+EQE = EQ.replace("where rn = 1 and ret is not null", "where rn = 1")
 REB = """, cal as (select date, rn, sum(flag) over (order by date) as reb_id, flag from
   (select date, row_number() over (order by date) as rn, case when lag(date) over (order by date) is null or month(date) <> month(lag(date) over (order by date)) then 1 else 0 end as flag from (select distinct date from pw)))"""
 
@@ -129,11 +130,11 @@ round(var_95, 8) as var_95, round(tail_mean, 6) as cvar_95, round(win_rate, 6) a
 
 @query(EQ + _report_sql("strategy", "eq") + f"select strategy, {_REPORT_COLS} from ag")
 def risk_report(spark, d):
-    return rounded(me.risk_report(strategies(spark, d)), var_95=8)
+    return rounded(me.risk_report(returning(spark, d)), var_95=8)
 
 
 @query(
-    EQ
+    EQE
     + """ , e as (select *, max(equity) over (partition by strategy order by date) as peak from eq where equity is not null and not isnan(equity)),
 a as (select strategy, arg_min(equity, date) as f, arg_max(equity, date) as l, min(date) as s, max(date) as t, min(equity / peak - 1) as max_dd from e group by strategy)
 select strategy, round(l / f - 1, 6) as total_return, round(pow(l / f, 1 / ((t - s) / 365.25)) - 1, 6) as cagr, round(max_dd, 6) as max_dd from a"""
@@ -144,7 +145,7 @@ def equity_summary(spark, d):
 
 @query(EQ + " select strategy, count(*) as n, round(avg(ret), 8) as mean, round(stddev_samp(ret), 8) as sd, round(skewness(ret), 6) as skew, round(kurtosis(ret), 6) as kurtosis from eq group by strategy having count(*) > 3")
 def skew_kurt(spark, d):
-    m = me.moments(strategies(spark, d))
+    m = me.moments(returning(spark, d))
     return m.select("strategy", "n", F.round("mean", 8).alias("mean"), F.round("sd", 8).alias("sd"), F.round("skew", 6).alias("skew"), F.round("kurtosis", 6).alias("kurtosis"))
 
 
@@ -154,7 +155,7 @@ def skew_kurt(spark, d):
 case when count(ret) over w = 60 then round((avg(ret) over w - 0.04 / 252) / stddev_samp(ret) over w * sqrt(252), 6) end as sharpe from eq window w as (partition by strategy order by date rows between 59 preceding and current row)"""
 )
 def rolling_risk(spark, d):
-    return rounded(me.rolling(strategies(spark, d), 60))
+    return rounded(me.rolling(returning(spark, d), 60))
 
 
 @query(DAY + " select date, ticker, round(avg(volume) over w, 6) as adv, round(stddev_samp(lr) over w, 8) as sigma from (select *, ln(px / lag(px) over (partition by ticker order by date)) as lr from pw) window w as (partition by ticker order by date rows between 19 preceding and current row)")
@@ -173,13 +174,13 @@ def asof_lookup(spark, d):
     return rounded(pn.asof(asked, p, "ticker", "date", ["px"], {"px": cs.NO_PRICE}))
 
 
-@query(EQ + " select strategy, date, round(equity / max(equity) over (partition by strategy order by date) - 1, 8) as drawdown from eq where equity is not null and not isnan(equity)")
+@query(EQE + " select strategy, date, round(equity / max(equity) over (partition by strategy order by date) - 1, 8) as drawdown from eq where equity is not null and not isnan(equity)")
 def drawdown_curve(spark, d):
     return rounded(ch.drawdown_curve(strategies(spark, d)), 8)
 
 
 @query(
-    EQ
+    EQE
     + """, a as (select strategy, date, equity / max(equity) over (partition by strategy order by date) - 1 as dd from eq where equity is not null and not isnan(equity)),
 b as (select *, sum(cast(dd = 0 as int)) over (partition by strategy order by date) as ep, first_value(case when dd = 0 then date end ignore nulls) over (partition by strategy order by date rows between current row and unbounded following) as nx, max(date) over (partition by strategy) as ld from a),
 c as (select strategy, ep, min(date) as start, min(dd) as depth, arg_min(date, (dd, date)) as trough, coalesce(any_value(nx), max(ld)) as e from b where dd < 0 group by strategy, ep),
@@ -233,17 +234,36 @@ def backtest_risk_report(spark, d):
     return rounded(me.risk_report(bt.run_backtest(weekly(spark, d))), var_95=8)
 
 
+_SPARSE = _BT.replace(
+    "select reb_id, pw.date, ticker, px, 1.0 / count(*) over (partition by pw.date) as w from pw join cal on pw.date = cal.date where flag = 1",
+    "select reb_id, date, ticker, px, case when held then 1.0 / sum(cast(held as int)) over (partition by date) else 0 end as w from (select reb_id, pw.date, ticker, px, (reb_id + dense_rank() over (order by ticker)) % 3 <> 0 as held from pw join cal on pw.date = cal.date where flag = 1)",
+).replace("'equal_weight'", "'sparse'")
+
+
+def sparse_targets(panel, schedule):
+    """Equal weights of two tickers in three, others at every rebalance; the rest have no rows."""
+    names = panel.select("ticker").distinct().withColumn("k", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("ticker")))
+    held = panel.join(schedule.where("is_reb").select("date", "reb_id"), "date").join(names, "ticker").where((F.col("reb_id") + F.col("k")) % 3 != 0)
+    return held.select(F.lit("sparse").alias("strategy"), "reb_id", "ticker", (1 / F.count("*").over(Window.partitionBy("date"))).alias("w"))
+
+
+@query(_SPARSE + " select strategy, date, round(equity, 4) as equity, round(ret, 8) as ret, round(turnover, 8) as turnover, round(cost, 4) as cost from bk")
+def backtest_sparse(spark, d):
+    p = weekly(spark, d)
+    return rounded(bt.run_backtest(p, sparse_targets(p, pn.calendar(p))), 8, equity=4, cost=4)
+
+
 _TURN = "select strategy, round(sum(turnover) / (count(ret) / 252.0), 6) as ann_turnover, round(252 / (sum(turnover) / (count(ret) / 252.0)), 6) as holding_days, round(sum(cost) / avg(equity) / (count(ret) / 252.0) * 10000, 6) as cost_drag_bps from {t} group by strategy"
 
 
 @query(EQ + " " + _TURN.format(t="eq"))
 def turnover_analysis(spark, d):
-    return rounded(me.turnover_analysis(strategies(spark, d)))
+    return rounded(me.turnover_analysis(returning(spark, d)))
 
 
 @query(EQ + ", m as (select unnest([0.0, 0.5, 1.0, 2.0, 3.0, 5.0]::double[]) as multiplier) , a as (select strategy, multiplier, ret + coalesce(cost / equity, 0) * (1 - multiplier) as x from eq, m) select strategy, multiplier, round((avg(x) - 0.04 / 252) / stddev_samp(x) * sqrt(252), 6) as sharpe from a group by strategy, multiplier")
 def cost_sensitivity(spark, d):
-    return rounded(me.cost_sensitivity(strategies(spark, d)))
+    return rounded(me.cost_sensitivity(returning(spark, d)))
 
 
 @query(
@@ -265,12 +285,12 @@ _REG = EQ + ", vo as (select *, case when count(ret) over w = 60 then stddev_sam
 
 @query(_REG + " select strategy, date, round(vol, 8) as vol, regime from rg")
 def regime_threshold(spark, d):
-    return rounded(rg.classify(strategies(spark, d)).select("strategy", "date", "vol", "regime"), 8)
+    return rounded(rg.classify(returning(spark, d)).select("strategy", "date", "vol", "regime"), 8)
 
 
 @query(_REG + ", rv as (select strategy, regime, date, ret from rg where regime is not null), sh as (select strategy, regime, count(*) as k, count(*) / sum(count(*)) over (partition by strategy) as fraction from rv group by strategy, regime)" + _report_sql("strategy, regime", "rv") + f"select ag.strategy, ag.regime, {_REPORT_COLS}, round(fraction, 6) as fraction from ag join sh on ag.strategy = sh.strategy and ag.regime = sh.regime where k >= 2")
 def regime_stats(spark, d):
-    return rounded(rg.regime_report(rg.classify(strategies(spark, d))), var_95=8)
+    return rounded(rg.regime_report(rg.classify(returning(spark, d))), var_95=8)
 
 
 _PERF = (
@@ -285,17 +305,17 @@ px as (select *, n_days / sum(n_days) over (partition by strategy) as fraction,
 
 @query(_PERF + " select strategy, regime, n_days, round(fraction, 6) as fraction, round(mean_return, 6) as mean_return, round(volatility, 6) as volatility, round(sharpe, 6) as sharpe, round(max_dd, 6) as max_dd from px")
 def regime_blocks(spark, d):
-    return rounded(rg.performance(rg.classify(strategies(spark, d))))
+    return rounded(rg.performance(rg.classify(returning(spark, d))))
 
 
 @query(_PERF + " select strategy, round(max(case when regime = 'bull' then sharpe end), 6) as bull, round(max(case when regime = 'sideways' then sharpe end), 6) as sideways, round(max(case when regime = 'bear' then sharpe end), 6) as bear from px group by strategy")
 def conditional_sharpe(spark, d):
-    return rounded(rg.conditional_sharpe(rg.classify(strategies(spark, d)), ["bull", "sideways", "bear"]))
+    return rounded(rg.conditional_sharpe(rg.classify(returning(spark, d)), ["bull", "sideways", "bear"]))
 
 
 @query(_REG + ", tr as (select strategy, regime as from_regime, lead(regime) over (partition by strategy order by date) as to_regime from rg where regime is not null) select strategy, from_regime, to_regime, count(*) as n, round(count(*) / sum(count(*)) over (partition by strategy, from_regime), 6) as share from tr where to_regime is not null group by strategy, from_regime, to_regime")
 def regime_transitions(spark, d):
-    return rounded(rg.transitions(rg.classify(strategies(spark, d))))
+    return rounded(rg.transitions(rg.classify(returning(spark, d))))
 
 
 _CPCV = (
@@ -329,41 +349,46 @@ _SR = EQ + ", mo as (select strategy, count(*) as n, (avg(ret) - 0.04 / 252) / s
 
 @query(_SR + " select strategy, n, round(sqrt(i / (n - 1)) * sqrt(252), 6) as se, round(1 + i * pow(1.6448536269514722 / sr, 2), 4) as min_length from ir")
 def sr_stderr_minbtl(spark, d):
-    e = va.sharpe_error(strategies(spark, d))
+    e = va.sharpe_error(returning(spark, d))
     return e.select("strategy", "n", F.round("se", 6).alias("se"), F.round("min_length", 4).alias("min_length"))
 
 
 @query()
 def dsr_psr(spark, d):
-    return va.sharpe_tests(strategies(spark, d), benchmark=0.5, trials=7)
+    return va.sharpe_tests(returning(spark, d), benchmark=0.5, trials=7)
 
 
 _U = "(('0x' || substr(md5('42|' || path || '|' || day || '|{k}'), 1, 8))::bigint + 0.5) / 4294967296.0::double"
-_MC = f"""with ra as (select p.path, y.day from range(200) p(path), range(1, 61) y(day)),
-dr as (select path, day, 0.0004::double + 0.01::double * (sqrt(-2 * ln({_U.format(k=0)})) * cos(2 * pi() * ({_U.format(k=1)}))) as ret from ra),
-wk as (select *, 1e6 * exp(sum(ln(1 + ret)) over (partition by path order by day)) as equity from dr),
-wd as (select *, equity / greatest(max(equity) over (partition by path order by day), 1e6) - 1 as dd from wk),
-en as (select path, arg_max(equity, day) as terminal, least(min(dd), 0) as max_dd from wd group by path)"""
+_MC = (
+    EQ
+    + f""", pf as (select date, avg(ret) as r from eq group by date), pm as (select round(avg(r), 10) as m, round(stddev_samp(r), 10) as s from pf),
+ra as (select p.path, y.day from range(50000) p(path), range(1, 253) y(day)),
+dr as (select path, day, m + s * (sqrt(-2 * ln({_U.format(k=0)})) * cos(2 * pi() * ({_U.format(k=1)}))) as ret from ra, pm),
+wk as (select *, 1e6 * exp(sum(ln(1 + ret)) over (partition by path order by day)) as equity from dr)"""
+)
+_MC_ENDS = _MC + ", wd as (select *, equity / greatest(max(equity) over (partition by path order by day), 1e6) - 1 as dd from wk), en as (select path, arg_max(equity, day) as terminal, least(min(dd), 0) as max_dd from wd group by path)"
 
 
-def _walk(spark):
-    return mc.paths(spark, 0.0004, 0.01, 200, 60)
+def _walk(spark, d):
+    """50,000 paths of 252 days of the equal-weight portfolio of all strategies, from the mean and deviation of its stored returns (one row on the driver)."""
+    portfolio = returning(spark, d).groupBy("date").agg(F.avg("ret").alias("r"))
+    m = portfolio.agg(F.round(F.avg("r"), 10).alias("m"), F.round(F.stddev_samp("r"), 10).alias("s")).first()
+    return mc.paths(spark, m["m"], m["s"])
 
 
-@query(_MC + " select path, round(terminal, 4) as terminal, round(max_dd, 8) as max_dd from en")
+@query(_MC_ENDS + " select path, round(terminal, 2) as terminal, round(max_dd, 6) as max_dd from en")
 def mc_terminal(spark, d):
-    e = mc.outcomes(_walk(spark), 1e6)
-    return e.select("path", F.round("terminal", 4).alias("terminal"), F.round("max_dd", 8).alias("max_dd"))
+    return rounded(mc.outcomes(_walk(spark, d), 1e6), 6, terminal=2)
 
 
-@query(_MC + " select day, " + ", ".join(f"round(quantile_cont(equity, {q}::double), 4) as p{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from wk group by day")
+@query(_MC + " select day, " + ", ".join(f"round(quantile_cont(equity, {q}::double), 2) as p{int(q * 100):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from wk group by day")
 def mc_bands(spark, d):
-    return rounded(mc.bands(_walk(spark)), 4)
+    return rounded(mc.bands(_walk(spark, d)), 2)
 
 
 @query(_MC + ", un as (select path, day, equity / greatest(max(equity) over (partition by path order by day), 1e6) - 1 < 0 as u from wk), ru as (select *, sum(cast(not u as int)) over (partition by path order by day) as run from un), lo as (select path, run, sum(cast(u as int)) as n from ru group by path, run) select path, cast(max(n) as bigint) as longest from lo group by path")
 def mc_underwater(spark, d):
-    return mc.underwater(_walk(spark), 1e6)
+    return mc.underwater(_walk(spark, d), 1e6)
 
 
 @query(
@@ -382,17 +407,17 @@ def mc_run_summary(spark, d):
 
 @query()
 def mc_strategy_terminal(spark, d):
-    return mc.forward(strategies(spark, d), "outcomes")
+    return mc.forward(returning(spark, d), "outcomes")
 
 
 @query()
 def mc_strategy_bands(spark, d):
-    return mc.forward(strategies(spark, d), "bands")
+    return mc.forward(returning(spark, d), "bands")
 
 
 @query()
 def mc_strategy_underwater(spark, d):
-    return mc.forward(strategies(spark, d), "underwater")
+    return mc.forward(returning(spark, d), "underwater")
 
 
 @query()
@@ -402,10 +427,10 @@ def mc_correlated(spark, d):
 
 @query(EQ + ", mo as (select strategy, year(date) as year, month(date) as m, exp(sum(ln(1 + ret))) - 1 as x from eq group by 1, 2, 3) select strategy, cast(year as bigint) as year, " + ", ".join(f"round(max(case when m = {m} then x end), 8) as m{m:02d}" for m in range(1, 13)) + " from mo group by strategy, year")
 def monthly_heatmap(spark, d):
-    return rounded(me.monthly_heatmap(strategies(spark, d)), 8)
+    return rounded(me.monthly_heatmap(returning(spark, d)), 8)
 
 
-@query(EQ + " select strategy, date, round(equity / first_value(equity) over (partition by strategy order by date), 8) as level from eq where equity is not null and not isnan(equity)")
+@query(EQE + " select strategy, date, round(equity / first_value(equity) over (partition by strategy order by date), 8) as level from eq where equity is not null and not isnan(equity)")
 def equity_level(spark, d):
     return rounded(me.normalised(strategies(spark, d)), 8)
 
@@ -434,7 +459,7 @@ def turnover_curve(spark, d):
 
 @query(_REG + " select strategy, date, round(equity / first_value(equity) over (partition by strategy order by date), 8) as level, last_value(regime ignore nulls) over (partition by strategy order by date) as regime from rg")
 def regime_overlay(spark, d):
-    s = strategies(spark, d)
+    s = returning(spark, d)
     return rounded(ch.regime_overlay(s, rg.classify(s)), 8)
 
 
@@ -574,44 +599,39 @@ def turnover_cap(spark, d):
 
 _TWO = (
     WEEK
-    + """, x2 as (select a.r as x, b.r as y from r a join r b on a.date = b.date and a.ticker = 'AF' and b.ticker = 'RF'),
-c2 as (select covar_samp(x, x) * 252 as a, covar_samp(x, y) * 252 as b, covar_samp(y, y) * 252 as d, avg(x) * 252 as m1, avg(y) * 252 as m2 from x2)"""
+    + """, c2 as (select a.ticker as i, b.ticker as j, covar_samp(a.r, a.r) * 252 as a, covar_samp(a.r, b.r) * 252 as b, covar_samp(b.r, b.r) * 252 as d, avg(a.r) * 252 as m1, avg(b.r) * 252 as m2
+  from r a join r b on a.date = b.date and a.ticker < b.ticker group by 1, 2)"""
 )
 
 
-def _two(spark, d):
-    from panelforge.operators.covariance import matrix
-
-    r = pn.log_returns(weekly(spark, d)).where(F.col("ticker").isin("AF", "RF"))
-    return r, matrix
-
-
-def _two_numpy(spark, d, solve, schema):
+def _pairs(spark, d, solve):
+    """``i, j, wi, wj`` of ``solve(returns, covariance a year)`` for every two tickers: assets by assets in number, one row each."""
+    import numpy as np
     import pandas as pd
 
-    r, matrix = _two(spark, d)
+    from panelforge.functions.covariances import sample
 
     def run(pdf):
-        tickers, x = matrix(pdf)
-        return pd.DataFrame(solve(tickers, x))
+        names, x = cv.matrix(pdf)
+        rows = []
+        for k in range(len(names)):
+            for m in range(k + 1, len(names)):
+                two = x[:, [k, m]]
+                rows.append((names[k], names[m], *map(float, np.asarray(solve(two, sample(two) * 252)))))
+        return pd.DataFrame(rows, columns=["i", "j", "wi", "wj"])
 
-    return r.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, schema)
+    return pn.log_returns(weekly(spark, d)).withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "i string, j string, wi double, wj double")
 
 
 @query(
     _TWO
-    + """, e2 as (select *, m1 + 0.5 - 0.04 as e1, m2 + 0.5 - 0.04 as e2, a * d - b * b as det from c2),
-f2 as (select least(greatest(0.5 * (d * e1 - b * e2) / det, 0), 0.4) as f1, least(greatest(0.5 * (a * e2 - b * e1) / det, 0), 0.4) as f2 from e2)
-select 'AF' as ticker, round(f1, 8) as w from f2 union all select 'RF', round(f2, 8) from f2"""
+    + """, e2 as (select *, m1 + 0.5 - 0.04 as e1, m2 + 0.5 - 0.04 as e2, a * d - b * b as det from c2)
+select i, j, round(least(greatest(0.5 * (d * e1 - b * e2) / det, 0), 0.4), 6) as wi, round(least(greatest(0.5 * (a * e2 - b * e1) / det, 0), 0.4), 6) as wj from e2"""
 )
-def kelly_2asset(spark, d):
-    from panelforge.functions.covariances import sample
+def kelly_pairs(spark, d):
     from panelforge.functions.weights import kelly
 
-    def solve(tickers, x):
-        return {"ticker": tickers, "w": kelly(x.mean(axis=0) * 252 + 0.5, sample(x) * 252)}
-
-    return rounded(_two_numpy(spark, d, solve, "ticker string, w double"), 8)
+    return rounded(_pairs(spark, d, lambda x, c: kelly(x.mean(axis=0) * 252 + 0.5, c)), 6)
 
 
 @query(
@@ -619,35 +639,28 @@ def kelly_2asset(spark, d):
     + """, pr as (select *, 2.5 * (a * 0.5 + b * 0.5) as p1, 2.5 * (b * 0.5 + d * 0.5) as p2, a * 0.15 as o1, d * 0.15 as o2, (a * d - b * b) * 0.0025 as dt from c2),
 iv as (select *, d * 0.05 / dt as ia, -b * 0.05 / dt as ib, a * 0.05 / dt as id from pr),
 aa as (select *, ia + 1 / o1 as xa, ib as xb, id + 1 / o2 as xd, ia * p1 + ib * p2 + m1 / o1 as y1, ib * p1 + id * p2 + m2 / o2 as y2 from iv)
-select 'AF' as ticker, round((xd * y1 - xb * y2) / (xa * xd - xb * xb), 8) as mu from aa union all select 'RF', round((xa * y2 - xb * y1) / (xa * xd - xb * xb), 8) from aa"""
+select i, j, round((xd * y1 - xb * y2) / (xa * xd - xb * xb), 6) as wi, round((xa * y2 - xb * y1) / (xa * xd - xb * xb), 6) as wj from aa"""
 )
-def bl_posterior_2asset(spark, d):
+def bl_posterior_pairs(spark, d):
     import numpy as np
 
-    from panelforge.functions.covariances import sample
     from panelforge.functions.weights import equilibrium, posterior
 
-    def solve(tickers, x):
-        c = sample(x) * 252
-        return {"ticker": tickers, "mu": posterior(c, equilibrium(c, np.array([0.5, 0.5])), x.mean(axis=0) * 252, np.diag(c) * 0.15)[0]}
+    return rounded(_pairs(spark, d, lambda x, c: posterior(c, equilibrium(c, np.array([0.5, 0.5])), x.mean(axis=0) * 252, np.diag(c) * 0.15)[0]), 6)
 
-    return rounded(_two_numpy(spark, d, solve, "ticker string, mu double"), 8)
 
-
-@query(_TWO + " select 'AF' as ticker, round((1 / sqrt(a)) / (1 / sqrt(a) + 1 / sqrt(d)), 6) as w from c2 union all select 'RF', round((1 / sqrt(d)) / (1 / sqrt(a) + 1 / sqrt(d)), 6) from c2")
-def risk_parity_2asset(spark, d):
-    from panelforge.functions.covariances import sample
+@query(_TWO + " select i, j, round((1 / sqrt(a)) / (1 / sqrt(a) + 1 / sqrt(d)), 5) as wi, round((1 / sqrt(d)) / (1 / sqrt(a) + 1 / sqrt(d)), 5) as wj from c2")
+def risk_parity_pairs(spark, d):
     from panelforge.functions.weights import risk_budget
 
-    return rounded(_two_numpy(spark, d, lambda t, x: {"ticker": t, "w": risk_budget(sample(x) * 252)}, "ticker string, w double"), 6)
+    return rounded(_pairs(spark, d, lambda x, c: risk_budget(c)), 5)
 
 
-@query(_TWO + " select 'AF' as ticker, round(d / (a + d), 8) as w from c2 union all select 'RF', round(a / (a + d), 8) from c2")
-def hrp_2asset(spark, d):
-    from panelforge.functions.covariances import sample
+@query(_TWO + " select i, j, round(d / (a + d), 6) as wi, round(a / (a + d), 6) as wj from c2")
+def hrp_pairs(spark, d):
     from panelforge.functions.weights import hrp
 
-    return rounded(_two_numpy(spark, d, lambda t, x: {"ticker": t, "w": hrp(sample(x) * 252)[0]}, "ticker string, w double"), 8)
+    return rounded(_pairs(spark, d, lambda x, c: hrp(c)[0]), 6)
 
 
 def _whole(spark, d, solve, name):
@@ -712,7 +725,7 @@ def strategy_targets(spark, d):
 
 
 @query()
-def backtest_all_strategies(spark, d):
+def backtest_all_returning(spark, d):
     p, s, raw = _raw(spark, d)
     return _expand_folded(p, s, bt.fold(raw))
 
@@ -789,9 +802,14 @@ def cpcv_kelly(spark, d):
     return va.cpcv(pn.log_returns(weekly(spark, d)), lambda x: kelly(x.mean(axis=0) * 252, ledoit_wolf(x) * 252))
 
 
+@query()
+def hmm_parameters(spark, d):
+    return rg.hmm_parameters(returning(spark, d))
+
+
 @query()
 def hmm_regimes(spark, d):
-    return rg.hmm_regimes(strategies(spark, d))
+    return rg.hmm_regimes(returning(spark, d))
 
 
 #: The reference's 54 combinations.
@@ -809,11 +827,8 @@ def param_stability(spark, d):
 select s as window_start, cast(s + to_years(3) as date) as window_end, lookback, fraction from recursive_free, (select unnest([126, 252]) as lookback) , (select unnest([0.25, 0.5]::double[]) as fraction) where cast(s + to_years(3) as date) <= b"""
 )
 def param_grid_windows(spark, d):
-    span = daily(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    starts = span.select("b", F.explode(F.expr("sequence(a, b, interval 3 months)")).alias("window_start"))
-    w = starts.withColumn("window_end", F.add_months("window_start", 36)).where("window_end <= b")
-    grid = w.withColumn("lookback", F.explode(F.array(F.lit(126), F.lit(252)))).withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5))))
-    return rounded(grid.select("window_start", "window_end", "lookback", "fraction"))
+    grid = va.window_grid(daily(spark, d)).withColumn("lookback", F.explode(F.array(F.lit(126), F.lit(252)))).withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5))))
+    return rounded(grid)
 
 
 def _factors(spark, d):
@@ -848,7 +863,7 @@ def factor_ols_1f(spark, d):
     + """, a as (select strategy, avg(ret) as m, stddev_samp(ret) as s from eq group by strategy), b as (select *, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2 as rx, rank() over (order by s) + (count(*) over (partition by s) - 1) / 2 as ry from a) select count(*) as n, round(corr(rx, ry), 6) as spearman from b"""
 )
 def spearman_panel(spark, d):
-    a = strategies(spark, d).groupBy("strategy").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
+    a = returning(spark, d).groupBy("strategy").agg(F.avg("ret").alias("m"), F.stddev_samp("ret").alias("s"))
     return rounded(me.rank_correlation(a, "m", "s"))
 
 
@@ -865,13 +880,13 @@ def set_ops_assets(spark, d):
 
 @query(EQ + _report_sql("strategy", "eq") + ", rp as (select strategy, round((mean - 0.04 / 252) / sd * sqrt(252), 6) as sharpe, round(sd * sqrt(252), 6) as ann_vol from ag) select row_number() over (order by sharpe desc, strategy) as rank, strategy, sharpe, ann_vol from rp")
 def strategy_ranking(spark, d):
-    r = rounded(me.risk_report(strategies(spark, d)).select("strategy", "sharpe", "ann_vol"))
+    r = rounded(me.risk_report(returning(spark, d)).select("strategy", "sharpe", "ann_vol"))
     return rounded(r.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("sharpe").desc(), "strategy"))))
 
 
 @query(EQ + ", f as (select strategy, date, ret, avg(ret) over w as m20, stddev_samp(ret) over w * sqrt(252) as vol, count(ret) over w as k from eq window w as (partition by strategy order by date rows between 19 preceding and current row)), z as (select strategy, date, (ret - avg(ret) over (partition by strategy)) / stddev_pop(ret) over (partition by strategy) as z_ret, (vol - avg(vol) over (partition by strategy)) / stddev_pop(vol) over (partition by strategy) as z_vol from f where k = 20) select strategy, date, round(z_ret, 6) as z_ret, round(z_vol, 6) as z_vol from z")
 def hmm_features(spark, d):
-    s = strategies(spark, d)
+    s = returning(spark, d)
     f = s.join(me.rolling(s, 20).select("strategy", "date", "vol"), ["strategy", "date"]).where("vol is not null")
     of = Window.partitionBy("strategy")
     z = lambda c: (F.col(c) - F.avg(c).over(of)) / F.stddev_pop(c).over(of)

@@ -1,4 +1,4 @@
-"""Streaming variants: periods of readings as they arrive, and a capped portfolio state kept between rebalances."""
+"""Streaming variants: periods of readings as they arrive."""
 
 from __future__ import annotations
 

@@ -74,6 +74,36 @@ def test_backtest_equals_a_day_loop(panel, wide):
         pn.calendar(panel, "weekly")
 
 
+def sparse_weights(months, t):
+    """A leaves at every third rebalance, B at the next, and so on; a ticker that is left out has no row."""
+    w = np.array([0.0 if (months[t] + k) % 3 == 0 else 0.5 for k in range(3)])
+    return w
+
+
+def test_backtests_sell_what_leaves_the_target_set(spark, panel, wide):
+    schedule = pn.calendar(panel)
+    months = np.cumsum(np.concatenate([[True], wide.index.month[1:] != wide.index.month[:-1]]))
+    rows = [("s", int(r), t, 0.5) for r in np.unique(months) for k, t in enumerate(TICKERS) if (r + k) % 3 != 0]
+    targets = spark.createDataFrame(rows, "strategy string, reb_id long, ticker string, w double")
+    want = day_loop(wide, lambda t: sparse_weights(months, t))
+    got = bt.run_backtest(panel, targets).toPandas().sort_values("date")
+    np.testing.assert_allclose(got.equity, want, rtol=1e-12)
+    state = panel.join(schedule.where("is_reb").select("date", "reb_id"), "date")
+    raw = state.join(targets, ["reb_id", "ticker"], "left").select(F.lit("s").alias("strategy"), "reb_id", "date", "ticker", F.coalesce("w", F.lit(0.0)).alias("w"), F.lit(True).alias("warm"), F.lit(False).alias("lever"), F.lit(None).cast("array<double>").alias("cov"), "px", F.lit(0.0).alias("adv"), F.lit(0.01).alias("sigma"))
+    folded = bt.fold(raw, max_turnover=None).toPandas()
+    at = folded.groupby("date").equity_k.first()
+    np.testing.assert_allclose(at.to_numpy(), pd.Series(want, index=wide.index.date)[at.index].to_numpy(), rtol=1e-12)
+    # a ticker without a row is sold at its latest price; without volume there is no impact but spread and slippage
+    gone = bt.fold(raw.where("ticker <> 'BBB' or reb_id = 1"), max_turnover=None, impact=True).toPandas()
+    assert gone[(gone.ticker == "BBB") & (gone.reb_id > 1)].w.abs().max() == 0 and np.isfinite(gone.equity_k).all()
+    # the second doubles, then leaves: its gain stays
+    d = [dt.date(2020, 1, 1), dt.date(2020, 2, 3)]
+    two = spark.createDataFrame([(d[0], "A", 1.0, 1.0), (d[0], "B", 1.0, 1.0), (d[1], "A", 1.0, 1.0), (d[1], "B", 2.0, 1.0)], "date date, ticker string, px double, volume double")
+    goal = spark.createDataFrame([("s", 1, "A", 0.5), ("s", 1, "B", 0.5), ("s", 2, "A", 1.0)], "strategy string, reb_id long, ticker string, w double")
+    last = bt.run_backtest(two, goal, cost_rate=0.0).orderBy("date").collect()[-1]
+    assert abs(last.equity - 1.5e6) < 1e-6 and abs(last.turnover - 2 / 3) < 1e-12
+
+
 def test_fold_equals_a_day_loop_with_turnover_cap(spark, panel, wide):
     schedule = pn.calendar(panel)
     targets = {"AAA": 0.9, "BBB": 0.0, "CCC": 0.05}
