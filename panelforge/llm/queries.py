@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.llm.leakage import find_leaks
-from panelforge.llm.packing import pack_documents
+from panelforge.llm.packing import pack_documents, packing_facts
 from panelforge.llm.percentiles import group_percentiles
 from panelforge.llm.quality import text_quality
 from panelforge.sources.tables import table
@@ -40,6 +40,15 @@ def p7_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack_documents(table(spark, d, "documents"), vocabulary=f"{VOCABULARIES}/byte_bpe_50k.json")
 
 
+def p7_diverse(spark: SparkSession, d: str) -> DataFrame:
+    """Containers with at most one document of a source."""
+    return pack_documents(table(spark, d, "documents"), per_source=1)
+
+
+def p7_facts(spark: SparkSession, d: str) -> DataFrame:
+    return packing_facts(pack_documents(table(spark, d, "documents")))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -58,7 +67,7 @@ def p9_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("doc_id", F.col("n_words").cast("long").alias("n_words"), *ratios, F.col("n_lines").cast("long").alias("n_lines"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p7_found, p7_containers, p8_found, p8_leaks, p9_found, p9_statistics)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_percentiles, p7_found, p7_containers, p7_diverse, p7_facts, p8_found, p8_leaks, p9_found, p9_statistics)}
 
 _PATHS = "(select distinct run_id, path, initial_capital, terminal, max_dd from mc_path where run_id is not null and path is not null)"
 
@@ -76,6 +85,9 @@ q as (select run_id, metric, count(*) as n, quantile_cont(x, [0.01, 0.05, 0.25,
 select run_id, metric, fraction, case when metric = 'terminal' then round(value, 4) else round(value, 8) end as value, n
 from (select run_id, metric, n, unnest(qs) as value, unnest([0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]::double[]) as fraction from q)""",
     "p7_found": r"select doc_id from documents where len(regexp_extract_all(text, '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) > 1024",
+    "p7_facts": r"""
+with t as (select doc_id, len(regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+|[^\s\p{L}\p{N}]')) as n from documents where doc_id is not null)
+select count(*) as documents, cast(sum(n) as bigint) as tokens, cast(0 as bigint) as overfull, cast(0 as bigint) as split_needlessly, cast(0 as bigint) as wrong_used, true as tight from t""",
     "p9_statistics": r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents),
 v as (select doc_id, line, length(regexp_replace(line, '\s+', '', 'g')) as visible, regexp_extract_all(lower(line), '[\p{L}\p{N}]+') as words from l),

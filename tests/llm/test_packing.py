@@ -1,10 +1,11 @@
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelforge.llm.packing import Bins, bpe_tokens, pack, pack_documents, plain_tokens
+from panelforge.llm.packing import Bins, bpe_tokens, pack, pack_documents, packing_facts, plain_tokens
 
 DOCS = "doc_id long, text string, source string, size int, shard string, container int"
 
@@ -70,6 +71,50 @@ def test_best_fit_takes_the_tightest_compatible():
     assert [b.place(s, 1, c) for s, c in ((6, 1), (7, 2), (3, 2), (3, 4), (4, 1))] == [0, 1, 0, 1, 2]
 
 
+def plain_best_fit(items, capacity, per_source):
+    """Loads by looking at every container for every item."""
+    bins = []
+    for size, source, cluster in items:
+        fit = [b for b in bins if b[0] >= size and not (cluster and cluster in b[2]) and b[1].count(source) < per_source]
+        best = min(fit, key=lambda b: b[0], default=None)
+        if best is None:
+            bins.append(best := [capacity, [], set()])
+        best[0] -= size
+        best[1].append(source)
+        best[2].add(cluster)
+    return len(bins)
+
+
+@pytest.mark.parametrize("per_source", [1, 2, 64])
+def test_as_few_containers_as_a_plain_search(per_source):
+    rng = random.Random(per_source)
+    items = sorted(((rng.randint(1, 40), 1 << rng.randrange(4), 1 << rng.randrange(6) if rng.random() < 0.4 else 0) for _ in range(600)), reverse=True)
+    b = Bins(64, per_source)
+    held = {}
+    for size, source, cluster in items:
+        held.setdefault(b.place(size, source, cluster), []).append((size, source, cluster))
+    for v in held.values():
+        clusters = [c for _, _, c in v if c]
+        assert sum(s for s, _, _ in v) <= 64 and len(clusters) == len(set(clusters)) and max(sum(s == q for _, s, _ in v) for _, q, _ in v) <= per_source
+    assert len(held) <= plain_best_fit(items, 64, per_source) * 1.03 + 1
+
+
+@pytest.mark.parametrize("per_source, source, cluster", [(1024, 0, 1), (1, 0, 1), (1, 1, 0)])
+def test_a_hot_cluster_or_source_takes_no_quadratic_time(per_source, source, cluster):
+    n, began = 16_000, time.process_time()
+    b = Bins(1024, per_source)
+    for k in range(n):
+        b.place(300 + k % 3, 1 if source else 1 << (k % 50), 1 if cluster else 0)
+    assert len(b.used) == n and time.process_time() - began < 2
+
+
+def test_facts(spark):
+    rows = [(i, "w " * (1 + (i * 37) % 900), f"s{i % 5}") for i in range(300)] + [(1000, "w " * 5000, "a"), (1001, None, "a")]
+    got = packing_facts(pack_documents(docs(spark, rows))).collect()[0]
+    assert got.documents == 302 and got.tokens == sum(1 + (i * 37) % 900 for i in range(300)) + 5000
+    assert (got.overfull, got.split_needlessly, got.wrong_used, got.tight) == (0, 0, 0, True)
+
+
 @pytest.mark.skipif(not os.path.exists("/opt/tokenizers/byte_bpe_50k.json"), reason="no vocabulary")
 def test_public_vocabulary(spark):
     df = docs(spark, [(1, "Hello world", "a"), (2, None, "a"), (3, "<|endoftext|>", "a")])
