@@ -1,10 +1,9 @@
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from panelforge.llm import quality
-from panelforge.llm.quality import chunks, fold, piece, text_quality
+from panelforge.llm.quality import fold, pieces, text_quality
 
 DOCS = "doc_id long, text string, lang string, words string, line string, lines int"
 COMMON = ["the", "of", "was", "by", "and", "to", "a", "had", "were", "in", "der", "die"]
@@ -35,16 +34,15 @@ def test_verdicts_and_ratios(spark):
     assert got[6].n_words == 0 and got[6].common_share is None
 
 
-def test_chunks_cut_no_line(spark, monkeypatch):
-    text = "\n".join("word " * (k % 23) + "x" * (k % 7) for k in range(400)) + "\n\nlast"
-    for size in (5, 64, 1000, 10**6):
-        df = spark.createDataFrame([(text,)], "t string").select("t", F.explode(chunks(F.col("t"), size)).alias("n")).select("n", piece(F.col("t"), F.col("n"), size).alias("p")).where("p is not null").orderBy("n")
-        lines = [x for r in df.collect() for x in (r.p[:-1] if r.p.endswith("\n") and r.p != text else r.p).split("\n")]
-        assert [x for x in lines if x.strip()] == [x for x in text.split("\n") if x.strip()]
-    whole = run(spark, [text])[0]
-    monkeypatch.setattr(quality.chunks, "__defaults__", (50,))
-    monkeypatch.setattr(quality.piece, "__defaults__", (50,))
-    assert run(spark, [text])[0] == whole
+def test_pieces_give_what_whole_texts_give(spark, monkeypatch):
+    text = "\n".join("word " * (k % 23) + "x" * (k % 7) + ("   the of" if k % 5 == 0 else "") for k in range(400)) + "\n\nlast"
+    texts = [text, PROSE * 3, TABLE * 5, LISTED * 3, JUNK * 3, PROSE.replace("\n", " ") * 3, "", None, "x" * 900]
+    whole = run(spark, texts)
+    for size in (7, 33, 200):
+        monkeypatch.setattr(quality, "CHUNK", size)
+        cut = spark.createDataFrame([(t,) for t in texts if t], "t string").select("t", pieces(F.col("t")).alias("p")).collect()
+        assert all("".join(r.p) == r.t for r in cut if "\n" not in r.t)
+        assert run(spark, texts) == whole
 
 
 def test_long_text_repeats_and_empty(spark):
@@ -56,10 +54,13 @@ def test_long_text_repeats_and_empty(spark):
     assert text_quality(d.limit(0), w).count() == 0
 
 
-def test_too_many_words(spark, monkeypatch):
-    monkeypatch.setattr(quality, "MOST_WORDS", 1)
-    with pytest.raises(ValueError):
-        run(spark, [PROSE])
+def test_word_lists_of_any_length(spark, monkeypatch):
+    texts = [PROSE, TABLE, LISTED, JUNK, PROSE + TABLE * 5, "", None, "eht rewot saw debircsed yb eht\n", PROSE, PROSE]
+    few = run(spark, texts)
+    monkeypatch.setattr(quality, "MOST_WORDS", 3)
+    assert run(spark, texts) == few
+    monkeypatch.setattr(quality, "CHUNK", 20)
+    assert run(spark, texts) == few
 
 
 def test_fold():
