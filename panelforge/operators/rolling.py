@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,8 +14,8 @@ from panelforge.plans.storage import write_table
 
 #: Calendar days per block.
 BLOCK_DAYS = 256
-#: Amounts are added as decimals, so adding and later subtracting leaves no residue.
-EXACT = "decimal(27,10)"
+#: Amounts are added as whole numbers, so adding and later subtracting leaves no residue: each is rounded to ten decimals, returns count in units of the tenth, equity in wholes and such units.
+EXACT, UNIT = "decimal(27,10)", 10_000_000_000
 
 
 def daily_series(equity: DataFrame) -> DataFrame:
@@ -40,27 +41,30 @@ def trailing_totals(equity: DataFrame, windows: Sequence[int] = (7, 30)) -> Data
 
     Each day's amount is an event that adds on its day and subtracts once it has
     left the window; the running sum of these deltas is the window's total. The
-    deltas are decimals, so the sums are exact. Columns: ``strategy, trade_date,
+    deltas are whole numbers, so the sums are exact. Columns: ``strategy, trade_date,
     window_days, ret, equity, ret_sum, ret_mean, equity_sum, equity_mean``. Means
     divide by the days there are (the first days of a strategy have short
     windows; equity before its first value counts neither way). Empty in, empty out.
     Writes the tables of :func:`daily_series` (actions).
     """
-    days = daily_series(equity)
     windows = [int(w) for w in windows]
-    last = days.groupBy("strategy").agg(F.max("day").alias("last"))
+    value = F.col("equity").cast(EXACT)
+    whole = F.floor(value)
+    days = daily_series(equity).select("strategy", "day", "ret", "equity", (F.col("ret").cast(EXACT) * UNIT).cast("long").alias("r"), whole.cast("long").alias("e"), ((value - whole) * UNIT).cast("long").alias("f"))
+    span = days.groupBy("strategy").agg(F.max("day").alias("last"), F.min("day").alias("first"), F.min(F.when(F.col("equity").isNotNull(), F.col("day"))).alias("first_equity"))
     leaves = F.explode(F.array(*[F.lit(w) for w in (0, *windows)]))
-    events = days.select("strategy", "day", leaves.alias("after"), "ret", "equity").withColumn("at", F.col("day") + F.col("after"))
-    events = events.join(last, "strategy").where("at <= last").select("strategy", F.floor(F.col("at") / BLOCK_DAYS).alias("block"), "at", "after", "ret", "equity").repartition("strategy", "block")
+    events = days.select("strategy", "day", leaves.alias("after"), "ret", "equity", "r", "e", "f").withColumn("at", F.col("day") + F.col("after"))
     adds = F.col("after") == 0
-    signed = lambda w, c: F.when(adds, c).when(F.col("after") == w, -c)
-    amounts = {"ret": F.col("ret").cast(EXACT), "equity": F.col("equity").cast(EXACT), "n": F.lit(1), "m": F.col("equity").isNotNull().cast("int")}
-    names = {(k, w): f"{k}_{w}" for w in windows for k in amounts}
-    deltas = events.select("strategy", "block", "at", adds.alias("adds"), "ret", "equity", *[signed(w, amounts[k]).cast(EXACT if k in ("ret", "equity") else "long").alias(f"d_{name}") for (k, w), name in names.items()])
+    own = [F.when(adds, F.col(c)).alias(c) for c in ("ret", "equity")]
+    events = events.join(span, "strategy").where("at <= last").select("strategy", F.floor(F.col("at") / BLOCK_DAYS).alias("block"), "at", "after", *own, "r", "e", "f", "first", "first_equity").repartition("strategy", "block")
+    names = {(k, w): f"{k}_{w}" for w in windows for k in ("r", "e", "f")}
+    deltas = events.select("strategy", "block", "at", adds.alias("adds"), "ret", "equity", "first", "first_equity", *[F.when(adds, F.col(k)).when(F.col("after") == w, -F.col(k)).alias(f"d_{name}") for (k, w), name in names.items()])
     total = blocked_scan(deltas, ["strategy"], "block", ["at", "adds"], sums={name: f"d_{name}" for name in names.values()}).where("adds")
-    per = F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), *[F.col(names[k, w]).alias(f"{k}_sum") for k in amounts]) for w in windows]))
-    long = total.select("strategy", "at", "ret", "equity", per.alias("t"))
-    ret_sum, equity_sum = F.col("t.ret_sum").cast("double"), F.when(F.col("t.m_sum") > 0, F.col("t.equity_sum").cast("double"))
+    long = total.select("strategy", "at", "ret", "equity", "first", "first_equity", F.explode(F.array(*[F.struct(F.lit(w).alias("window_days"), *[F.col(names[k, w]).alias(k) for k in ("r", "e", "f")]) for w in windows])).alias("t"))
+    ret_sum = F.col("t.r") / F.lit(float(UNIT))
+    equity_sum = (F.col("t.e").cast("decimal(20,0)") + F.col("t.f").cast("decimal(20,0)") * F.lit(Decimal(1) / UNIT)).cast("double")
+    days_since = lambda c: F.least(F.col("t.window_days"), F.col("at") - F.col(c) + 1)
+    has = F.col("first_equity") <= F.col("at")
     return long.select(
         "strategy",
         F.date_add(F.lit("1970-01-01").cast("date"), F.col("at")).alias("trade_date"),
@@ -68,9 +72,9 @@ def trailing_totals(equity: DataFrame, windows: Sequence[int] = (7, 30)) -> Data
         "ret",
         "equity",
         ret_sum.alias("ret_sum"),
-        (ret_sum / F.col("t.n_sum")).alias("ret_mean"),
-        equity_sum.alias("equity_sum"),
-        (equity_sum / F.col("t.m_sum")).alias("equity_mean"),
+        (ret_sum / days_since("first")).alias("ret_mean"),
+        F.when(has, equity_sum).alias("equity_sum"),
+        F.when(has, equity_sum / days_since("first_equity")).alias("equity_mean"),
     )
 
 
