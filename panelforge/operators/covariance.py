@@ -117,3 +117,9 @@ def eigenvalues(returns: DataFrame) -> DataFrame:
         return pd.DataFrame({"rank": np.arange(1, len(values) + 1), "eigenvalue": values, "low": low, "high": high, "density": mp_density(values, ratio)})
 
     return returns.withColumn("_k", F.lit(0)).groupBy("_k").applyInPandas(run, "rank int, eigenvalue double, low double, high double, density double")
+
+
+def noise_edges(returns: DataFrame) -> DataFrame:
+    """``q, low, high``: assets over dates, and the edges between which pure noise has its eigenvalues."""
+    q = returns.agg((F.countDistinct("ticker") / F.countDistinct("date")).alias("q"))
+    return q.select("q", F.pow(1 - F.sqrt("q"), F.lit(2)).alias("low"), F.pow(1 + F.sqrt("q"), F.lit(2)).alias("high"))

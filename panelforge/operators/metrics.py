@@ -120,6 +120,25 @@ def cost_sensitivity(series: DataFrame, multipliers: Sequence[float] = (0.0, 0.5
     return a.select("strategy", "multiplier", sharpe(F.col("mean"), F.col("sd"), rf).alias("sharpe"))
 
 
+def ranking(report: DataFrame, by: str = "sharpe") -> DataFrame:
+    """``rank`` by a figure, the best first, ties by name. One row a strategy; ranked in one task."""
+    return report.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col(by).desc_nulls_last(), "strategy")))
+
+
+def comparison(series: DataFrame, rf: float = 0.04) -> DataFrame:
+    """One row a strategy: Sharpe ratio, volatility, CAGR, worst drawdown of equity, turnover a year and total cost, ranked by Sharpe ratio.
+
+    Days without a return count for the equity figures only, days without equity
+    for the return figures only; a strategy that has neither of one kind has nulls there.
+    """
+    returning = series.where("ret is not null")
+    report = risk_report(returning, ("strategy",), rf).select("strategy", "sharpe", "ann_vol")
+    wealth = equity_summary(series).select("strategy", "cagr", "max_dd")
+    trades = turnover_analysis(returning).select("strategy", "ann_turnover")
+    paid = returning.groupBy("strategy").agg(F.sum("cost").alias("total_cost"))
+    return ranking(report.join(wealth, "strategy", "left").join(trades, "strategy", "left").join(paid, "strategy", "left"))
+
+
 def monthly_heatmap(series: DataFrame) -> DataFrame:
     """Compounded return per month, one row a year and one column a month."""
     months = list(range(1, 13))

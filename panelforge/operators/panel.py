@@ -97,3 +97,9 @@ def asof(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]
         out = out.withColumn(f"_{v}", found)
     chosen = [(F.coalesce(F.col(f"_{v}"), F.lit(fallback[v])) if fallback and v in fallback else F.col(f"_{v}")).alias(v) for v in values]
     return out.where("_side = 1").select(*left.columns, *chosen)
+
+
+def tail(panel: DataFrame, n: int = 5) -> DataFrame:
+    """All rows of the last ``n`` dates; fewer where there are fewer. Only the ``n`` dates are brought together."""
+    dates = panel.select("date").where("date is not null").distinct().orderBy(F.col("date").desc()).limit(n)
+    return panel.join(F.broadcast(dates), "date", "left_semi")

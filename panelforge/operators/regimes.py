@@ -43,6 +43,14 @@ def conditional_sharpe(labelled: DataFrame, order: list[str], rf: float = 0.04)
     return performance(labelled, rf).groupBy("strategy").pivot("regime", order).agg(F.first("sharpe"))
 
 
+def features(series: DataFrame, window: int = 20) -> DataFrame:
+    """``z_ret, z_vol``: returns and rolling volatility standardised per strategy, where the window is full."""
+    f = series.join(rolling(series, window).select("strategy", "date", "vol"), ["strategy", "date"]).where("vol is not null")
+    of = Window.partitionBy("strategy")
+    z = lambda c: (F.col(c) - F.avg(c).over(of)) / F.stddev_pop(c).over(of)
+    return f.select("strategy", "date", z("ret").alias("z_ret"), z("vol").alias("z_vol"))
+
+
 HMM_ROWS = "strategy string, date date, state int, regime string, states int, mean_vol double, stay double"
 
 

@@ -505,14 +505,13 @@ def cov_ledoit_wolf(spark, d):
 
 @query(_LW + " select round(sum(case when i = j then cov end), 10) as trace, round(sqrt(sum(cov * cov)), 10) as frobenius from lw")
 def cov_diagnostics(spark, d):
-    c = cv.full(cv.ledoit_wolf(pn.log_returns(weekly(spark, d))))
-    return rounded(c.agg(F.sum(F.when(F.col("i") == F.col("j"), F.col("cov"))).alias("trace"), F.sqrt(F.sum(F.col("cov") * F.col("cov"))).alias("frobenius")), 10)
+    c = cv.full(cv.ledoit_wolf(pn.log_returns(weekly(spark, d)))).withColumn("method", F.lit("ledoit_wolf"))
+    return rounded(cv.compare(c).select("trace", "frobenius"), 10)
 
 
 @query(WEEK + ", q as (select count(distinct ticker) / count(distinct date) as q from r) select round(q, 8) as q, round(pow(1 - sqrt(q), 2), 8) as low, round(pow(1 + sqrt(q), 2), 8) as high from q")
 def mp_bounds(spark, d):
-    q = pn.log_returns(weekly(spark, d)).agg((F.countDistinct("ticker") / F.countDistinct("date")).alias("q"))
-    return rounded(q.select("q", F.pow(1 - F.sqrt("q"), F.lit(2)).alias("low"), F.pow(1 + F.sqrt("q"), F.lit(2)).alias("high")), 8)
+    return rounded(cv.noise_edges(pn.log_returns(weekly(spark, d))), 8)
 
 
 _METHODS = ("sample", "ledoit_wolf", "ewma", "rmt_denoised", "ledoit_wolf_nonlinear", "dcc_garch")
@@ -880,14 +879,27 @@ def set_ops_assets(spark, d):
 
 @query(EQ + _report_sql("strategy", "eq") + ", rp as (select strategy, round((mean - 0.04 / 252) / sd * sqrt(252), 6) as sharpe, round(sd * sqrt(252), 6) as ann_vol from ag) select row_number() over (order by sharpe desc, strategy) as rank, strategy, sharpe, ann_vol from rp")
 def strategy_ranking(spark, d):
-    r = rounded(me.risk_report(returning(spark, d)).select("strategy", "sharpe", "ann_vol"))
-    return rounded(r.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("sharpe").desc(), "strategy"))))
+    return rounded(me.ranking(rounded(me.risk_report(returning(spark, d)).select("strategy", "sharpe", "ann_vol"))))
 
 
 @query(EQ + ", f as (select strategy, date, ret, avg(ret) over w as m20, stddev_samp(ret) over w * sqrt(252) as vol, count(ret) over w as k from eq window w as (partition by strategy order by date rows between 19 preceding and current row)), z as (select strategy, date, (ret - avg(ret) over (partition by strategy)) / stddev_pop(ret) over (partition by strategy) as z_ret, (vol - avg(vol) over (partition by strategy)) / stddev_pop(vol) over (partition by strategy) as z_vol from f where k = 20) select strategy, date, round(z_ret, 6) as z_ret, round(z_vol, 6) as z_vol from z")
 def hmm_features(spark, d):
-    s = returning(spark, d)
-    f = s.join(me.rolling(s, 20).select("strategy", "date", "vol"), ["strategy", "date"]).where("vol is not null")
-    of = Window.partitionBy("strategy")
-    z = lambda c: (F.col(c) - F.avg(c).over(of)) / F.stddev_pop(c).over(of)
-    return rounded(f.select("strategy", "date", z("ret").alias("z_ret"), z("vol").alias("z_vol")))
+    return rounded(rg.features(returning(spark, d)))
+
+
+@query(DAY + " select date, ticker, round(px, 6) as px, round(volume, 6) as volume from pw where date in (select distinct date from pw order by date desc limit 5)")
+def panel_tail(spark, d):
+    return rounded(pn.tail(daily(spark, d)))
+
+
+@query(
+    EQ
+    + _report_sql("strategy", "eq")
+    + """, ea as (select strategy, trade_date as date, equity from (select *, row_number() over (partition by strategy, trade_date order by loaded_at desc) as rn from equity where strategy is not null and trade_date is not null) where rn = 1 and equity is not null and not isnan(equity)),
+ep as (select *, max(equity) over (partition by strategy order by date) as peak from ea), es as (select strategy, arg_min(equity, date) as f, arg_max(equity, date) as l, min(date) as s, max(date) as t, min(equity / peak - 1) as dd from ep group by strategy),
+tu as (select strategy, sum(turnover) / (count(ret) / 252.0) as ann_turnover, sum(cost) as total_cost from eq group by strategy),
+cm as (select ag.strategy, (mean - 0.04 / 252) / sd * sqrt(252) as sharpe, sd * sqrt(252) as ann_vol, pow(l / f, 1 / ((t - s) / 365.25)) - 1 as cagr, dd as max_dd, ann_turnover, total_cost from ag join es on ag.strategy = es.strategy join tu on ag.strategy = tu.strategy)
+select strategy, round(sharpe, 6) as sharpe, round(ann_vol, 6) as ann_vol, round(cagr, 6) as cagr, round(max_dd, 6) as max_dd, round(ann_turnover, 6) as ann_turnover, round(total_cost, 4) as total_cost, row_number() over (order by sharpe desc, strategy) as rank from cm"""
+)
+def strategy_comparison(spark, d):
+    return rounded(me.comparison(strategies(spark, d)), 6, total_cost=4)

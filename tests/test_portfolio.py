@@ -172,6 +172,32 @@ def test_impact_parts_sum_and_fall_back(spark, panel):
     assert got["AAA", dt.date(2020, 6, 1)].total > 0
 
 
+def test_simple_costs(spark):
+    rows = spark.createDataFrame([("d1", "A", 0.2, 1e6, 0.01), ("d1", "B", -0.1, 1e6, 0.0), ("d2", "A", 0.0, 0.0, 0.02)], "k string, ticker string, trade double, value double, gross double")
+    got = rows.select("k", "ticker", cs.proportional(F.col("trade"), F.col("value")).alias("cost"), "value", "gross").withColumn("net", cs.net_return(F.col("gross"), F.col("cost"), F.col("value"))).collect()
+    np.testing.assert_allclose([r.cost for r in got], [300.0, 150.0, 0.0])
+    np.testing.assert_allclose([r.net for r in got], [0.0097, -0.00015, 0.02])
+    by = {r.k: r.t for r in rows.groupBy("k").agg(cs.one_way(F.col("trade")).alias("t")).collect()}
+    assert abs(by["d1"] - 0.15) < 1e-12 and by["d2"] == 0
+    d = [dt.date(2020, 1, k) for k in (2, 3, 6)]
+    trades = spark.createDataFrame([(d[0], "A", 1000.0), (d[1], "A", -500.0), (d[1], "B", 1e-7), (d[2], "A", 0.0)], "date date, ticker string, dollars double")
+    state = spark.createDataFrame([(d[0], "A", 10.0, 1e4, 0.02)], "date date, ticker string, px double, adv double, sigma double")
+    each = cs.impact(trades, state)
+    assert [(r.date, r.ticker) for r in cs.last_rebalance(each).collect()] == [(d[1], "A")]
+    total = {r.ticker: r.cost for r in cs.impact_total(trades, state, "ticker").collect()}
+    want = cs.impact_of(np.array([1000.0, 500.0]), np.full(2, 10.0), np.full(2, 1e4), np.full(2, 0.02)).sum()
+    assert abs(total["A"] - want) < 1e-9 and total["B"] < 1e-9
+
+
+def test_tail_and_comparison(spark, panel):
+    last = sorted({r.date for r in panel.select("date").collect()})[-5:]
+    assert sorted({r.date for r in pn.tail(panel).collect()}) == last and pn.tail(panel).count() == 15 and pn.tail(panel.limit(0)).count() == 0
+    d = [dt.date(2020, 1, k) for k in range(1, 6)]
+    rows = [("a", d[k], r, e, 0.1, 1.0) for k, (r, e) in enumerate([(0.01, 101.0), (0.02, None), (None, 150.0), (-0.01, 102.0), (0.0, 102.0)])] + [("b", d[0], None, 5.0, 0.0, 0.0)]
+    got = me.comparison(spark.createDataFrame(rows, "strategy string, date date, ret double, equity double, turnover double, cost double")).collect()
+    assert [(r.strategy, r.rank) for r in got] == [("a", 1)] and abs(got[0].max_dd - (102 / 150 - 1)) < 1e-12 and got[0].total_cost == 4.0
+
+
 def test_long_covariances_equal_numpy(panel, wide):
     r = pn.log_returns(panel)
     x = np.diff(np.log(wide.to_numpy()), axis=0)
