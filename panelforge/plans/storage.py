@@ -73,6 +73,15 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 128 << 20, most: int = 200_000) -> int:
+    """How many partitions hold ``df`` in parts of about ``bytes_each``, by the planner's estimate of its size (no action); at least the session's shuffle partitions.
+
+    For shuffles whose partition number is fixed and which adaptive execution therefore leaves alone.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)))
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Mark ``df`` for broadcast only if it has at most ``max_rows`` rows; otherwise leave the join to shuffle.
 
