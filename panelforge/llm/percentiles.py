@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.columns import number
-from panelforge.plans.storage import broadcast_if_small, write_table
+from panelforge.plans.storage import broadcast_if_small, partitions_for, write_table
 
 #: Wanted positions up to this many rows (24 bytes each) are broadcast; beyond it the join shuffles.
 BROADCAST_TARGETS = 500_000
@@ -40,10 +40,10 @@ def sorted_runs(combined: DataFrame, label: str = "order") -> DataFrame:
     One range shuffle orders the rows and brings repeats side by side, where they
     are dropped. ``place`` is partition number times 2**33 plus the position in
     the partition. Range bounds come from the rows, so a group that holds a third
-    of them spreads over a third of the partitions. Writes a table (an action).
+    of them spreads over a third of the partitions, whose number follows the
+    estimated size. Writes a table (an action).
     """
-    spark = combined.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(combined)
     order = ["metric", "group", "value", "key"]
     ranged = combined.repartitionByRange(n, *order).dropDuplicates(order).sortWithinPartitions(*order)
     return write_table(ranged.select("metric", "group", "value", F.monotonically_increasing_id().alias("place")), label)
