@@ -78,7 +78,7 @@ def partitions_for(df: DataFrame, bytes_each: int = 128 << 20, most: int = 200_0
 
     For shuffles whose partition number is fixed and which adaptive execution therefore leaves alone.
     """
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)))
 
 
