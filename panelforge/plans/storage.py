@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: An estimate of so many bytes is none.
+UNKNOWN = 1 << 55
 #: Paths of the tables written by this process.
 _written: list[str] = []
 
@@ -73,13 +75,14 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def partitions_for(df: DataFrame, bytes_each: int = 128 << 20, most: int = 200_000) -> int:
+def partitions_for(df: DataFrame, bytes_each: int = 128 << 20, most: int = 20_000) -> int:
     """How many partitions hold ``df`` in parts of about ``bytes_each``, by the planner's estimate of its size (no action); at least the session's shuffle partitions.
 
-    For shuffles whose partition number is fixed and which adaptive execution therefore leaves alone.
+    For shuffles whose partition number is fixed and which adaptive execution therefore leaves alone. Rows that
+    come from no file have no estimate (the planner takes them to be endless) and get the session's number.
     """
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(most, -(-size // bytes_each)) if size < UNKNOWN else 0)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
