@@ -14,6 +14,12 @@ from panelforge.plans.storage import spread
 
 #: Paths drawn at once.
 PATH_BLOCK = 5_000
+#: Fractions of the bands.
+BANDS = (0.05, 0.25, 0.5, 0.75, 0.95)
+#: Terms of the series of a logarithm, and for the strategies whose bands are found together: largest times smallest k, step times largest number, how many at most and at least.
+TERMS, SPAN, STEP, TOGETHER, FEW = 6, 1.4, 0.01, 500, 2
+#: More than the rounding of a sum of logarithms.
+ROUNDING = 1e-13
 
 
 def uniform(seed: int, *counters: Column | str, draw: int = 0) -> Column:
@@ -99,10 +105,90 @@ def _ends(equity: np.ndarray, capital: float) -> pd.DataFrame:
 
 
 def _bands(equity: np.ndarray, capital: float) -> pd.DataFrame:
-    q = np.array([np.quantile(e, [0.05, 0.25, 0.5, 0.75, 0.95]) for e in equity.T])
+    return _band_rows(np.array([np.quantile(e, BANDS) for e in equity.T]))
+
+
+def _band_rows(q: np.ndarray) -> pd.DataFrame:
     return pd.DataFrame(q, columns=["p05", "p25", "p50", "p75", "p95"]).assign(day=np.arange(1, len(q) + 1))
 
 
+def shocks(n_paths: int, n_days: int, seed: int) -> np.ndarray:
+    """The standard normal numbers, days by paths, of which ``simulate`` draws of ``rng.normal`` are mean + deviation * number."""
+    rng, z = np.random.default_rng(seed), np.empty((n_days, n_paths))
+    for a in range(0, n_paths, PATH_BLOCK):
+        b = min(a + PATH_BLOCK, n_paths)
+        z[:, a:b] = rng.standard_normal((b - a, n_days)).T
+    return z
+
+
+def _bands_one(z: np.ndarray, mean: float, sd: float, capital: float) -> np.ndarray:
+    """Days by fractions, from all paths."""
+    growth, out = np.ones(z.shape[1]), np.empty((len(z), len(BANDS)))
+    for day, row in enumerate(z):
+        growth *= 1 + (mean + sd * row)
+        out[day] = np.quantile(capital * growth, BANDS)
+    return out
+
+
+def _bands_near(z: np.ndarray, mean: np.ndarray, k: np.ndarray, capital: float) -> np.ndarray:
+    """Strategies by days by fractions, for strategies whose ``k`` = deviation / (1 + mean) lie near each other.
+
+    Equity is capital * (1 + mean)^day * exp(f) with f the sum of log(1 + k z) over the path's days, so ``k``
+    alone orders the paths. With u = z / (1 + k0 z) and step = k - k0, f is the sum of log(1 + k0 z) plus the series
+    step * sum(u) - step^2 / 2 * sum(u^2) + ..., to a double's precision. k0 / k * f has the order of f; less what all paths have in common
+    it is within ``room`` of its value at k0, for every k here. An order statistic thus lies between those of the lower and of the upper
+    bounds, and only paths whose bounds reach there are evaluated for each strategy; all others are known to be
+    below or above.
+    """
+    at = np.array(BANDS) * (z.shape[1] - 1)
+    low = at.astype(int)
+    high, share = np.minimum(low + 1, z.shape[1] - 1), at - low
+    k0 = (k.min() + k.max()) / 2
+    step = k - k0
+    tilting, bending, rest = np.abs(step / k).max(), (k0 * step**2 / (2 * k)).max(), (k0 * np.abs(step) ** 3 / (3 * k)).max()
+    series = np.array([-((-step) ** n) / n for n in range(1, TERMS + 1)]).T
+    base, sums, top = np.zeros(z.shape[1]), np.zeros((TERMS, z.shape[1])), 0.0
+    out = np.empty((len(k), len(z), len(BANDS)))
+    for day, row in enumerate(z):
+        base += np.log1p(k0 * row)
+        u = row / (1 + k0 * row)
+        top = max(top, u.max(), -u.min())
+        power = u.copy()
+        for s in sums:
+            s += power
+            power *= u
+        tilt = k0 * sums[0] - base
+        room = tilting * np.abs(tilt - tilt.mean()) + bending * np.abs(sums[1] - sums[1].mean()) + rest * top / (1 - np.abs(step).max() * top) * sums[1] + ROUNDING
+        lower, upper = base - room, base + room
+        least, most = np.sort(lower)[low], np.sort(upper)[high]
+        grown = (day + 1) * np.log1p(mean)
+        for j in range(len(BANDS)):
+            near = np.flatnonzero((upper >= least[j]) & (lower <= most[j]))
+            ranks = np.array([low[j], high[j]]) - np.count_nonzero(upper < least[j])
+            f = np.partition(base[near] + series @ sums[:, near], ranks, axis=1)[:, ranks]
+            a, b = (capital * np.exp(grown[:, None] + f)).T
+            out[:, day, j] = a + (b - a) * share[j]
+    return out
+
+
+def _strategy_bands(stats: pd.DataFrame, z: np.ndarray, capital: float) -> Iterator[tuple[str, np.ndarray]]:
+    """Strategy, and days by fractions, of each row of ``strategy, mean, sd``, those of near ``k`` together."""
+    widest = max(z.max(), -z.min())
+    stats = stats.assign(k=stats["sd"] / (1 + stats["mean"])).sort_values("k", ignore_index=True)
+    mean, k = stats["mean"].to_numpy(), stats["k"].to_numpy()
+    usable, a = (np.abs(mean) <= 0.5) & (k > 0) & (k * widest <= 0.5), 0
+    while a < len(stats):
+        b = a + 1
+        while b < len(stats) and usable[a] and usable[b] and k[b] <= SPAN * k[a] and (k[b] - k[a]) * widest <= STEP and b - a < TOGETHER:
+            b += 1
+        if b - a < FEW:
+            for r in stats[a:b].itertuples():
+                yield r.strategy, _bands_one(z, r.mean, r.sd, capital)
+        else:
+            yield from zip(stats["strategy"][a:b], _bands_near(z, mean[a:b], k[a:b], capital))
+        a = b
+
+
 def _longest(equity: np.ndarray, capital: float) -> pd.DataFrame:
     peak, run, most = np.full(len(equity), capital), np.zeros(len(equity), np.int64), np.zeros(len(equity), np.int64)
     for e in equity.T:
@@ -124,18 +210,31 @@ def forward(series: DataFrame, keep: str, n_paths: int = 50_000, n_days: int = 2
     """``outcomes``, ``bands`` or ``underwater`` of a simulation of every strategy from its own daily returns' mean and deviation.
 
     A strategy's paths by days are one task's matrix (100 MB by default), a size
-    that does not depend on the input. All strategies have the same seed.
+    that does not depend on the input. All strategies have the same seed; for ``bands`` a
+    task draws the numbers once and finds those of strategies of like deviation together.
     Strategies with fewer than two returns have no rows.
     """
     found, columns = KEPT[keep]
+    names = ["strategy", *[c.split()[0] for c in columns.split(", ")]]
     stats = series.groupBy("strategy").agg(F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd")).where("sd is not null")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.itertuples():
                 out = found(simulate(lambda rng, k, r=r: rng.normal(r.mean, r.sd, (k, n_days)), n_paths, capital, seed), capital)
-                yield out.assign(strategy=r.strategy)[["strategy", *[c.split()[0] for c in columns.split(", ")]]]
+                yield out.assign(strategy=r.strategy)[names]
 
+    def run_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = None
+        for pdf in batches:
+            if len(pdf):
+                z = shocks(n_paths, n_days, seed) if z is None else z
+                for strategy, q in _strategy_bands(pdf, z, capital):
+                    yield _band_rows(q).assign(strategy=strategy)[names]
+
+    if keep == "bands":
+        near = stats.repartitionByRange(2 * series.sparkSession.sparkContext.defaultParallelism, "sd")
+        return near.mapInPandas(run_bands, "strategy string, " + columns)
     return spread(stats, "strategy").mapInPandas(run, "strategy string, " + columns)
 
 

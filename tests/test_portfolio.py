@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -347,6 +348,29 @@ def test_forward_simulation_is_of_full_size_and_from_the_stored_returns(spark, s
     assert list(longest[longest.strategy == name].sort_values("path").longest[:50]) == runs
 
 
+def test_bands_of_strategies_found_together_are_those_of_all_paths():
+    rng = np.random.default_rng(3)
+    odd = [(0, 0), (1e-3, 1e-12), (1e-3, 1.1e-12), (0.3, 0.01), (-0.4, 0.01), (-1, 0.01), (-2, 0.01), (0, 0.5), (0, 0.06), (0, 0.0601), (0, 0.085), (0, 0.0851), (0.001, 0.09), (math.inf, math.nan), (0, 1e-300)]
+    rows = [*odd, *zip(rng.normal(0, 1e-3, 50), rng.uniform(0.0055, 0.015, 50))]
+    stats = pd.DataFrame(rows, columns=["mean", "sd"]).assign(strategy=lambda x: x.index.astype(str))
+    for n_paths, n_days in ((1, 3), (2, 5), (37, 40), (5_001, 60)):
+        got = dict(mc._strategy_bands(stats, mc.shocks(n_paths, n_days, 42), 1e6))
+        assert len(got) == len(stats)
+        for r in stats.itertuples():
+            equity = mc.simulate(lambda g, k, r=r: g.normal(r.mean, r.sd, (k, n_days)), n_paths)
+            np.testing.assert_allclose(got[r.strategy], np.quantile(equity, mc.BANDS, axis=0).T, rtol=1e-12, err_msg=str(r))
+
+
+def test_bands_of_many_strategies_cost_little_more_than_of_one(spark):
+    rng = np.random.default_rng(5)
+    many = pd.DataFrame({"strategy": np.repeat([f"s{i}" for i in range(240)], 3), "ret": np.outer(rng.uniform(0.009, 0.011, 240), [1, 0, -1]).ravel()})
+    began = time.perf_counter()
+    mc._bands(mc.simulate(lambda g, k: g.normal(0, 0.01, (k, 252))), 1e6)
+    one, began = time.perf_counter() - began, time.perf_counter()
+    assert mc.forward(spark.createDataFrame(many), "bands").count() == 240 * 252
+    assert time.perf_counter() - began < 35 * one  # each on its own: 60 or more times one, on four cores
+
+
 def test_correlated_simulation_is_of_all_assets(spark, smoke):
     from panelforge.plans.panels import daily
     from panelforge.queries_reference import QUERIES
